@@ -96,7 +96,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS
     """(u, v) links over distinct fingerprints `fp` that have the components of all pairs within radius."""
     spark = fps.sparkSession
     n = fps.count()
-    leaves = int(min(MAX_LEAVES, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) if n > 4 * SAMPLE_POINTS else 4, -(-n // shard_points))))
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n // 1024)  # enough shards for the cluster
+    leaves = int(min(MAX_LEAVES, max(1, spread, -(-n // shard_points))))
     share = min(1.0, SAMPLE_POINTS / max(n, 1))
     cut = int(share * (1 << 32))
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < cut).limit(2 * SAMPLE_POINTS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
