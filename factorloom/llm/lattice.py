@@ -202,17 +202,33 @@ def best_paths(lat: Lattice, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(lat.base))
 
 
+def _from_start(lat: Lattice) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Edges by falling start in the word, and the ranges of equal starts."""
+    key = -lat.place.astype(np.int64) if len(lat.place) and lat.place.max() > 65535 else (65535 - lat.place).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.diff(lat.place[order])) + 1
+    return order, [(a, z) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True) if a < z]
+
+
+def backward(lat: Lattice, score: np.ndarray) -> np.ndarray:
+    """Log of the sum over paths from each node to the end of its word."""
+    beta = np.full(int(lat.base[-1] + lat.length[-1] + 1) if len(lat.base) else 0, -np.inf)
+    beta[lat.base + lat.length] = 0.0
+    order, ranges = _from_start(lat)
+    src, dst, s = lat.src[order], lat.dst[order], score[order]
+    for a, z in ranges:
+        np.logaddexp.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
+    return beta
+
+
 def gaps(lat: Lattice, score: np.ndarray, alpha: np.ndarray, path: np.ndarray) -> np.ndarray:
     """Best minus second-best score of each word (inf where there is one segmentation): another path has an edge off the best one, so the second best is the best path through one."""
     beta = np.full(len(alpha), -np.inf)
     beta[lat.base + lat.length] = 0.0
-    key = -lat.place if len(lat.place) and lat.place.max() > 65535 else (65535 - lat.place).astype(np.uint16)
-    order = np.argsort(key, kind="stable")
-    src, dst, s, places = lat.src[order], lat.dst[order], score[order], lat.place[order]
-    cut = np.flatnonzero(np.diff(places)) + 1
-    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(src)], strict=True):
-        if a < z:
-            np.maximum.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
+    order, ranges = _from_start(lat)
+    src, dst, s = lat.src[order], lat.dst[order], score[order]
+    for a, z in ranges:
+        np.maximum.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
     off = np.ones(len(lat.src), bool)
     off[path] = False
     second = np.full(len(lat.base), -np.inf)
