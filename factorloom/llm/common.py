@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one vectorised step works on at most (a longer document is one step).
 STEP_BYTES = 4 << 20
@@ -30,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that an operator can carry any of them without a clash of names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def schema_of(first: str, kind: DataType, rest: str) -> StructType:
+    """A column of any type, and the columns of a DDL string."""
+    return StructType([StructField(first, kind), *StructType.fromDDL(rest).fields])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

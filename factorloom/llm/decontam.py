@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_bytes
+from .common import schema_of, steps, text_bytes
 from .words import lower, run_hashes, word_bounds, word_hashes
 
 WINDOW, SHINGLE = 13, 5
@@ -186,7 +186,7 @@ def find_windows(block: Block, bits: dict[int, np.ndarray], data: np.ndarray, of
 _STATE = "_hits array<int>, _items array<long>"
 
 
-def _scanner(held, last: bool) -> Callable:  # noqa: ANN001
+def _scanner(held, last: bool, name: str) -> Callable:  # noqa: ANN001
     """Rows (id, text, hits so far, items so far) with this block's hits and items added; the last gives the result."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +221,13 @@ def _scanner(held, last: bool) -> Callable:  # noqa: ANN001
                 if not last:
                     hits_out += [(np.flatnonzero(hit[b:c])).astype(np.int32).tolist() for b, c in zip(bound[:-1], bound[1:], strict=True)]
             if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.int64()))], names=["id", "text", "_hits", "_items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.int64()))], names=[name, "text", "_hits", "_items"])
                 continue
             n, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n_words, n_hit))
             digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items_out]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([len(x) for x in items_out], pa.int64()), pa.array(digest, pa.string()), pa.array((k > 0) & (20 * k >= n), pa.bool_()), pa.array(items_out, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                names=[name, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
 
     return scan
@@ -243,15 +243,16 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, s
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids)."""
-    sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr("cast(null as array<int>)").alias("_hits"), F.expr("cast(null as array<long>)").alias("_items"))
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id (or `carry` as row), n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids)."""
+    sc, name = docs.sparkSession.sparkContext, "doc_id" if carry is None else "row"
+    state = docs.select((F.col(id_col) if carry is None else carry).alias(name), F.col(text_col).alias("text"), F.expr("cast(null as array<int>)").alias("_hits"), F.expr("cast(null as array<long>)").alias("_items"))
+    kind = state.schema[name].dataType
     todo = [sc.broadcast(block) for block in blocks_indexed(docs, benchmark, size, shingle, block_bytes, text_col)]
     for k, held in enumerate(todo):
         last = k == len(todo) - 1
-        out = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>" if last else f"id {kind}, text string, {_STATE}"
-        state = state.mapInArrow(_scanner(held, last), out)
+        out = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>" if last else f"text string, {_STATE}"
+        state = state.mapInArrow(_scanner(held, last, name), schema_of(name, kind, out))
     return state
 
 

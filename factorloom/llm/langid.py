@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, steps, text_bytes
+from .common import STEP_BYTES, schema_of, steps, text_bytes
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
@@ -183,13 +183,11 @@ def hash_key(b: np.ndarray, n: np.ndarray) -> int:
     return int(np.dot(np.asarray(b, np.int64) * 2654435761 % 4294967291, np.asarray(n, np.int64)) % (1 << 61))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (or the id as doc_id), with lang_pred, score and accepted (letters, and a score not below the threshold)."""
+def predict(docs: DataFrame, model: Model | None, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (or `carry` as row), lang_pred, score, and accepted: it has letters and a score not below the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or [id_col]
-    first = [F.col(c).alias("doc_id") if keep == [id_col] else F.col(c) for c in keep]
-    slim = docs.select(F.col(text_col).alias("_text"), *first)
-    names = slim.columns[1:]
+    name = "doc_id" if carry is None else "row"
+    slim = docs.select(F.col(text_col).alias("text"), (F.col(id_col) if carry is None else carry).alias(name))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -202,10 +200,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 lang = np.where(letters, np.array(model.langs, object)[p.argmax(axis=1)], "und")
                 score = np.where(letters, p.max(axis=1), 0.0)
                 ok = letters & (score >= model.threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[*names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[name, "lang_pred", "score", "accepted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    return slim.mapInArrow(scan, f"{schema}, lang_pred string, score double, accepted boolean")
+    return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "lang_pred string, score double, accepted boolean"))
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, htmltext, langid, pieces, scoring, sharding, simhash, tokencount
+from . import ann, decontam, htmltext, langid, pieces, scoring, sharding, simhash, suffixdedup, tokencount
 from .common import table
 from .oracles import ORACLES
 
@@ -39,6 +39,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
@@ -51,4 +55,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), tokencount.sample_edits(F.col("text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_sharding, op4_langid, op5_html_text, op6_sentencepiece, op7_ann, op9_lm_scoring, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_sharding, op4_langid, op5_html_text, op6_sentencepiece, op7_ann, op8_suffix_dedup, op9_lm_scoring, op10_token_counts)}

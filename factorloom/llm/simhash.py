@@ -22,11 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from .common import materialize
+from .common import materialize, schema_of, whole_row
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -53,16 +53,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (or `carry` as row) and fp: the fingerprint as a signed long."""
+    name = "doc_id" if carry is None else "row"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[name, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, f"doc_id {kind}, fp long")
+    slim = docs.select((F.col(id_col) if carry is None else carry).alias(name), F.col(text_col).alias("text"))
+    return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "fp long"))
 
 
 def local_links(points: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +123,27 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS
     return fps.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean").groupBy("leaf").applyInPandas(match, "u long, v long")
 
 
+def labelled(points: DataFrame, radius: int, shard_points: int) -> DataFrame:
+    """points (one row for each distinct fp) with `label`, equal within a component."""
+    label = components(links(points, radius, shard_points))
+    return materialize(points.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_points: int = SHARD_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    each = materialize(fingerprints(docs, shingle, id_col, text_col))
-    points = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(points, radius, shard_points))
-    labelled = materialize(points.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(least, "label").select("fp", "component_id")
+    each = materialize(fingerprints(docs, shingle, None, id_col, text_col))
+    points = labelled(materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius, shard_points)
+    least = points.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_fp = points.join(least, "label").select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_points: int = SHARD_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component: the one with the smallest id (a null one last), then the smallest fingerprint and text."""
+    each = materialize(fingerprints(docs, shingle, whole_row(docs), id_col, text_col))
+    order = F.struct(F.col("id").isNull(), "id", "fp")
+    points = labelled(materialize(each.select("fp", F.col(f"row.`{id_col}`").alias("id")).groupBy("fp").agg(F.min(order).alias("least"))), radius, shard_points)
+    chosen = points.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.fp").alias("fp"), F.col("least.id").alias("id"))
+    match = (F.col("a.fp") == F.col("b.fp")) & F.col(f"a.row.`{id_col}`").eqNullSafe(F.col("b.id"))
+    kept = each.alias("a").join(chosen.alias("b"), match, "left_semi")
+    return kept.groupBy("fp").agg(F.min_by("row", F.struct(F.col(f"row.`{text_col}`").isNull(), f"row.`{text_col}`")).alias("row")).select("row.*")
