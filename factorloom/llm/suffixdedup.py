@@ -35,7 +35,7 @@ from .words import _BASE, _INVERSE, _TABLE, mix, powers
 
 SPAN, GRAM = 400, 100
 #: Bytes of contexts in a shard, about; and under one hash at most.
-SHARD_BYTES, HOT_BYTES = 6 << 20, 24 << 20
+SHARD_BYTES, HOT_BYTES = 4 << 20, 16 << 20
 _KEY = "k long, size int"
 
 
@@ -136,6 +136,7 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
     """keyed docs -> (k, size, spans): byte ranges to remove, flat and in no order, for documents that have any."""
     every = materialize(find_anchors(docs, text_col, span, gram))
     again = every.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).where("_n > 1").drop("_n")
+    again = materialize(again)  # a join of two plain scans can be split where a hash is common
     every = materialize(every.join(again, "h"))
     mixed = every.where("mixed")
     forms = materialize(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "size", "p", "n")).alias("one")).select("h", "c", "times", "one.*"))
