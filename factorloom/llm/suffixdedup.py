@@ -35,7 +35,7 @@ from .words import _BASE, _INVERSE, _TABLE, mix, powers
 
 SPAN, GRAM = 400, 100
 #: Bytes of contexts in a shard, about; and under one hash at most.
-SHARD_BYTES, HOT_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, HOT_BYTES = 5 << 19, 2 << 20
 _KEY = "k long, size int"
 
 
@@ -162,8 +162,8 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
 
 
 def xsort_memory(shard_bytes: int) -> int:
-    """Queue memory of one sort: a few times the usual shard, so that only larger ones go to disk."""
-    return 8 * shard_bytes
+    """Memory of one sort: a few times the usual shard, so that only larger ones go to disk."""
+    return max(48 << 20, 8 * shard_bytes)
 
 
 def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
