@@ -115,7 +115,7 @@ def map_alpha(df: DataFrame, kind: str, scale: float = 1.0, bins: int = 5, cut:
         alpha = F.when(n > 1, (F.try_divide(rank0(s), n - 1) - 0.5) * scale)
     elif kind == "quantile":
         b = F.least(F.floor(rank0(s) * bins / n), F.lit(bins - 1))
-        alpha = (b / F.lit(max(bins - 1, 1)) * 2 - 1) * scale
+        alpha = F.when(s.isNotNull(), (b / F.lit(max(bins - 1, 1)) * 2 - 1) * scale)
     elif kind == "zscore":
         z = F.try_divide(s - F.avg(s).over(w), F.stddev_samp(s).over(w))
         alpha = F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(cut)), F.lit(-cut))) * scale
