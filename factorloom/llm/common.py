@@ -42,6 +42,38 @@ def schema_of(first: str, kind: DataType, rest: str) -> StructType:
     return StructType([StructField(first, kind), *StructType.fromDDL(rest).fields])
 
 
+#: Rows of documents in one Arrow batch, unless the session says otherwise: the usual 10,000 would hold tens of MB of text.
+BATCH_ROWS = 1000
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str, carry: Column | None, *more: Column) -> tuple[DataFrame, str]:
+    """What an operator reads: the id as doc_id and the text, or only `carry` as row, which holds the text; and the name of the first."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if carry is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more), "doc_id"
+    return docs.select(carry.alias("row"), *more), "row"
+
+
+def text_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The text column of a batch of `texts`."""
+    return batch.column(1) if batch.schema.names[0] == "doc_id" else batch.column(0).field(text_col)
+
+
+def merged(batches: Iterator[pa.RecordBatch], limit: int, at: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches joined until column `at` holds about limit bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

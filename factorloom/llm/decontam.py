@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_of, steps, text_bytes
+from .common import schema_of, steps, text_bytes, text_of, texts
 from .words import lower, run_hashes, word_bounds, word_hashes
 
 WINDOW, SHINGLE = 13, 5
@@ -183,18 +183,16 @@ def find_windows(block: Block, bits: dict[int, np.ndarray], data: np.ndarray, of
     return a[same], win[same], bound, row
 
 
-_STATE = "_hits array<int>, _items array<long>"
 
-
-def _scanner(held, last: bool, name: str) -> Callable:  # noqa: ANN001
+def _scanner(held, last: bool, name: str, text_col: str) -> Callable:  # noqa: ANN001
     """Rows (id, text, hits so far, items so far) with this block's hits and items added; the last gives the result."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
         bits = {w: _filter(p[0]) for w, p in block.prefix.items()}
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            old_hits, old_items = batch.column(2), batch.column(3)
+            data, offsets = text_bytes(text_of(batch, text_col))
+            old_hits, old_items = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             fresh = not batch.num_rows or (old_hits.null_count == batch.num_rows)
             hits_out, items_out, n_words, n_hit = [], [], [], []
             for i, j in steps(offsets):
@@ -221,7 +219,7 @@ def _scanner(held, last: bool, name: str) -> Callable:  # noqa: ANN001
                 if not last:
                     hits_out += [(np.flatnonzero(hit[b:c])).astype(np.int32).tolist() for b, c in zip(bound[:-1], bound[1:], strict=True)]
             if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.int64()))], names=[name, "text", "_hits", "_items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.int64()))], names=batch.schema.names)
                 continue
             n, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n_words, n_hit))
             digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items_out]
@@ -245,14 +243,14 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, s
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id (or `carry` as row), n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids)."""
-    sc, name = docs.sparkSession.sparkContext, "doc_id" if carry is None else "row"
-    state = docs.select((F.col(id_col) if carry is None else carry).alias(name), F.col(text_col).alias("text"), F.expr("cast(null as array<int>)").alias("_hits"), F.expr("cast(null as array<long>)").alias("_items"))
-    kind = state.schema[name].dataType
+    sc, none = docs.sparkSession.sparkContext, F.lit(None)
+    state, name = texts(docs, id_col, text_col, carry, none.cast("array<int>").alias("_hits"), none.cast("array<long>").alias("_items"))
+    first, kind = state.schema, state.schema[name].dataType
     todo = [sc.broadcast(block) for block in blocks_indexed(docs, benchmark, size, shingle, block_bytes, text_col)]
     for k, held in enumerate(todo):
         last = k == len(todo) - 1
-        out = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>" if last else f"text string, {_STATE}"
-        state = state.mapInArrow(_scanner(held, last, name), schema_of(name, kind, out))
+        out = schema_of(name, kind, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>") if last else first
+        state = state.mapInArrow(_scanner(held, last, name, text_col), out)
     return state
 
 

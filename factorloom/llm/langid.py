@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, schema_of, steps, text_bytes
+from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
@@ -186,21 +186,21 @@ def hash_key(b: np.ndarray, n: np.ndarray) -> int:
 def predict(docs: DataFrame, model: Model | None, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (or `carry` as row), lang_pred, score, and accepted: it has letters and a score not below the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    name = "doc_id" if carry is None else "row"
-    slim = docs.select(F.col(text_col).alias("text"), (F.col(id_col) if carry is None else carry).alias(name))
+    slim, name = texts(docs, id_col, text_col, carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            letters = np.fromiter((bool(t.is_valid and _HAS_LETTER.search(t.as_py())) for t in batch.column(0)), bool, batch.num_rows)
+            column = text_of(batch, text_col)
+            letters = np.fromiter((bool(t.is_valid and _HAS_LETTER.search(t.as_py())) for t in column), bool, batch.num_rows)
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             ok = np.zeros(batch.num_rows, bool)
             if model is not None and batch.num_rows:
-                p = model.scores(*text_bytes(batch.column(0)))
+                p = model.scores(*text_bytes(column))
                 lang = np.where(letters, np.array(model.langs, object)[p.argmax(axis=1)], "und")
                 score = np.where(letters, p.max(axis=1), 0.0)
                 ok = letters & (score >= model.threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[name, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[name, "lang_pred", "score", "accepted"])
 
     return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "lang_pred string, score double, accepted boolean"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from .common import materialize, schema_of, whole_row
+from .common import materialize, schema_of, text_of, texts, whole_row
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -55,14 +55,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (or `carry` as row) and fp: the fingerprint as a signed long."""
-    name = "doc_id" if carry is None else "row"
+    slim, name = texts(docs, id_col, text_col, carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in text_of(batch, text_col)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[name, "fp"])
 
-    slim = docs.select((F.col(id_col) if carry is None else carry).alias(name), F.col(text_col).alias("text"))
     return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "fp long"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from . import xsort
 from .anchors import anchors
-from .common import materialize, schema_of, text_bytes, whole_row
+from .common import materialize, schema_of, text_bytes, texts, whole_row
 from .words import _BASE, _INVERSE, _TABLE, mix, powers
 
 SPAN, GRAM = 400, 100
@@ -42,7 +42,7 @@ _KEY = "k long, size int"
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs as a struct, their text, and k and size, which equal rows share and others don't."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(whole_row(docs).alias("row"), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(1)).alias("k"), F.octet_length(text).alias("size"))
+    return texts(docs, id_col, text_col, whole_row(docs), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(1)).alias("k"), F.octet_length(text).alias("size"))[0]
 
 
 def find_anchors(docs: DataFrame, text_col: str, span: int, gram: int) -> DataFrame:

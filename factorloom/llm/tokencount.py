@@ -25,12 +25,14 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF, CONTEXT = 64, 4
 #: Pre-tokens whose counts a worker remembers, and the longest that is remembered.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 200_000, 64
 RANKS_BYTES = 64 << 20
 
 
@@ -199,7 +201,7 @@ def count(docs: DataFrame, edits: Column, ranks: str = RANKS, id_col: str = "doc
             cols = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols]], names=["doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded", "n_chars_edited"])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), edits.alias("edits"))
+    slim, _ = texts(docs, id_col, text_col, None, edits.alias("edits"))
     return slim.mapInArrow(scan, f"doc_id {kind}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, n_chars_edited long")
 
 
