@@ -119,7 +119,8 @@ def dimension(n: Node) -> str:
     if isinstance(n, Col):
         if n.name == "vwap":
             return "price"
-        return next((d for w, d in DIMENSION_WORDS if w in n.name.lower()), "unknown")
+        low = n.name.lower()
+        return next((d for w, d in DIMENSION_WORDS if (w in low.split("_") if len(w) == 2 else w in low)), "unknown")
     if isinstance(n, Neg):
         return dimension(n.arg)
     if isinstance(n, Bin):
