@@ -27,7 +27,7 @@ from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE = 12, 32, 0.5
+EPOCHS, UPDATES, BATCH, RATE = 12, 800, 32, 0.5  # epochs, and updates at least
 #: Labelled documents a language that the model is fitted on, about; languages at most.
 PER_LANG, MAX_LANGS = 600, 1000
 #: Share of right answers that the threshold may reject, and the threshold's upper bound.
@@ -121,8 +121,11 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             x[r, idx] = c / max(1, c.sum())
         return x
 
-    for epoch in range(EPOCHS):
-        rate = np.float32(RATE * (1 - epoch / EPOCHS))
+    epochs = max(EPOCHS, -(-UPDATES * BATCH // max(len(train), 1)))
+    share = np.bincount(y, minlength=k) / n
+    weight = np.minimum(1.0 / (k * np.maximum(share, 1e-9)), 10.0).astype(np.float32)  # rare languages count as much
+    for epoch in range(epochs):
+        rate = np.float32(RATE * (1 - epoch / epochs))
         rng.shuffle(train)
         for a in range(0, len(train), BATCH):
             rows = train[a : a + BATCH]
@@ -132,7 +135,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
+            p *= weight[y[rows]][:, None] / len(rows)
             back = p @ out.T
             out -= rate * 4 * (mean.T @ p)
             bias -= rate * p.sum(axis=0)
