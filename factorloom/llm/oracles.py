@@ -25,3 +25,53 @@ FROM words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {"op1_decontamination": OP1}
+
+
+def feistel_sql(source: str, x: str) -> str:
+    """(row, x) of `source` (row, n, side, and the number as x) after one application of the network."""
+    from .sharding import PRIME, round_keys
+
+    sql = f"SELECT row, n, side, {x} // side AS l, {x} % side AS r FROM {source}"
+    for a, b in round_keys(42):
+        t = f"((r * {a} + {b}) % {PRIME})"
+        sql = f"SELECT row, n, side, r AS l, (l + ({t} * {t}) % {PRIME}) % side AS r FROM ({sql})"
+    return f"SELECT row, n, side, l * side + r AS x FROM ({sql})"
+
+
+#: The bitwise CRC-32 table by its rule, then one fold over the bytes of each text.
+CRC = """crc_table AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+bytes AS (SELECT rowid_, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(concat('0x', h) AS BIGINT)) AS b FROM docs WHERE text IS NOT NULL),
+crcs AS (SELECT rowid_, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, v: xor(c >> 8, t[CAST(xor(c, v) & 255 AS INTEGER) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM bytes, crc_table)"""
+
+OP3 = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents),
+{CRC},
+sized AS (SELECT d.doc_id, CAST(coalesce(octet_length(encode(d.text)), 0) + 8 AS BIGINT) AS size, c.text_crc32 FROM docs d LEFT JOIN crcs c USING (rowid_)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size NULLS FIRST, text_crc32 NULLS FIRST) - 1 AS row, (SELECT count(*) FROM documents) AS n,
+  (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) FROM documents) AS side FROM sized),
+walk AS (
+  {feistel_sql("numbered", "row")}
+  UNION ALL
+  SELECT * FROM ({feistel_sql("(SELECT * FROM walk WHERE x >= n)", "x")}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % 24 AS INTEGER) AS shard, CAST(x // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk USING (row) WHERE walk.x < walk.n
+"""
+ORACLES["op3_sharding"] = OP3
+
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+windows AS (SELECT rid, i, hash(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT rid, hx, unnest(range(0, len(hx) // 2 - 399)) AS i FROM d WHERE len(hx) >= 800)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM windows JOIN twice USING (h)),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS s FROM starts),
+spans AS (SELECT rid, s, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY rid, s),
+gaps AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS z FROM spans
+  UNION ALL SELECT rid, max(z), 1000000000 FROM spans GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(hx, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS hx FROM gaps JOIN d USING (rid) GROUP BY rid),
+sums AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept k USING (rid)
+"""
+ORACLES["op8_suffix_dedup"] = OP8
