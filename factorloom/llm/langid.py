@@ -29,7 +29,7 @@ from .words import lower
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, UPDATES, BATCH, RATE = 12, 800, 32, 0.5  # epochs, and updates at least
 #: Labelled documents a language that the model is fitted on, about; languages at most.
-PER_LANG, MAX_LANGS = 600, 1000
+PER_LANG, MAX_LANGS = 400, 1000
 #: Share of right answers that the threshold may reject, and the threshold's upper bound.
 REJECTS, CEILING = 0.001, 0.35
 _LETTER = np.zeros(256, bool)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
 
     got = sample.select("text", "lang").mapInArrow(count, "lang string, b array<short>, n array<int>").toPandas()
     order = np.argsort([hash_key(b, n) for b, n in zip(got["b"], got["n"], strict=True)], kind="stable") if len(got) else []
-    rows = [(np.asarray(got["b"][i], np.int64), np.asarray(got["n"][i], np.float32)) for i in order]
+    rows = [(np.asarray(got["b"][i], np.int32), np.asarray(got["n"][i], np.float32)) for i in order]
     return fit(rows, [got["lang"][i] for i in order])
 
 

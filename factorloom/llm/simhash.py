@@ -143,6 +143,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     order = F.struct(F.col("id").isNull(), "id", "fp")
     points = labelled(materialize(each.select("fp", F.col(f"row.`{id_col}`").alias("id")).groupBy("fp").agg(F.min(order).alias("least"))), radius, shard_points)
     chosen = points.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.fp").alias("fp"), F.col("least.id").alias("id"))
-    match = (F.col("a.fp") == F.col("b.fp")) & F.col(f"a.row.`{id_col}`").eqNullSafe(F.col("b.id"))
-    kept = each.alias("a").join(chosen.alias("b"), match, "left_semi")
-    return kept.groupBy("fp").agg(F.min_by("row", F.struct(F.col(f"row.`{text_col}`").isNull(), f"row.`{text_col}`")).alias("row")).select("row.*")
+    key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("none")).alias("key")
+    keyed = each.withColumn("id", F.col(f"row.`{id_col}`")).select("row", "fp", key)
+    kept = keyed.join(chosen.select("fp", key), ["fp", "key"], "left_semi")  # rows of one id and fingerprint meet here, so they need no further shuffle
+    return kept.groupBy("fp", "key").agg(F.min_by("row", F.struct(F.col(f"row.`{text_col}`").isNull(), f"row.`{text_col}`")).alias("row")).select("row.*")
