@@ -64,6 +64,17 @@ ELEMENTWISE: dict[str, tuple[int, Callable[..., Column]]] = {
 }
 
 
+def define(name: str, arguments: int, f: Callable[..., Column]) -> None:
+    """Add a function of one's own to the language: columns in, column out (a pandas UDF's result will do)."""
+    low = name.lower()
+    if low in BUILT_IN:
+        raise ValueError(f"{name} is built in")
+    ELEMENTWISE[low] = (arguments, f)
+
+
+BUILT_IN = frozenset(ELEMENTWISE) | {"min", "max", "sum"}
+
+
 def least(*xs: Column) -> Column:
     """The smallest value that is there."""
     return xs[0] if len(xs) == 1 else F.least(*xs)

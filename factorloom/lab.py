@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.elementwise import define
 from .operators import backtest, optimize, prices, search, strategies
 from .plans.ast import Node
 from .plans.compiler import compute
@@ -18,14 +19,19 @@ from .sources.filters import parse_prefilter
 
 
 class Pool:
-    """Kept DataFrames under a policy: all, recent (one), n (the n last used), none."""
+    """Kept DataFrames under a policy: all, recent (one), n (the n last used), none, budget (planned bytes, last used first)."""
 
-    def __init__(self, policy: str = "all", n: int = 3) -> None:
-        if policy not in ("all", "recent", "n", "none"):
+    def __init__(self, policy: str = "all", n: int = 3, budget: int | None = None) -> None:
+        if policy not in ("all", "recent", "n", "none", "budget"):
             raise ValueError(f"unknown policy {policy}")
-        self.limit = {"all": None, "recent": 1, "n": n, "none": 0}[policy]
+        self.limit = {"all": None, "recent": 1, "n": n, "none": 0, "budget": None}[policy]
+        self.budget = budget if policy == "budget" else None
         self.kept: dict[str, DataFrame] = {}
 
+    @staticmethod
+    def planned_bytes(df: DataFrame) -> int:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         if key in self.kept:
             self.kept[key] = self.kept.pop(key)  # the last used is the last
@@ -34,7 +40,7 @@ class Pool:
         if self.limit == 0:
             return df
         self.kept[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
-        while self.limit is not None and len(self.kept) > self.limit:
+        while len(self.kept) > 1 and (self.limit is not None and len(self.kept) > self.limit or self.budget is not None and sum(map(self.planned_bytes, self.kept.values())) > self.budget):
             self.kept.pop(next(iter(self.kept))).unpersist()
         return self.kept[key]
 
@@ -56,7 +62,6 @@ class Lab:
     compat: bool = False
     reset: str | None = None  # "year": windows start anew each year
     formulas: dict[str, Node] = field(default_factory=dict)
-    functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     prefilter: str = ""
 
     def set_filter(self, text: str) -> None:
@@ -71,6 +76,10 @@ class Lab:
     def register(self, name: str, formula: str) -> None:
         self.formulas[name] = parse(formula)
 
+    def define(self, name: str, arguments: int, f: Callable[..., Column]) -> None:
+        """A function of one's own for formulas."""
+        define(name, arguments, f)
+
     def unregister(self, name: str) -> None:
         self.formulas.pop(name)
 
@@ -102,6 +111,12 @@ class Lab:
     def run_bt(self, names: list[str] | None = None) -> backtest.BacktestResult:
         return backtest.run_with_qcut(self.calc(names).withColumn("value", F.col("cap_neued")), self.grid(), self.config)
 
+    def tear_sheet(self, name: str) -> dict[str, DataFrame]:
+        """Everything about one factor: group curves with the long-short one, ICs, group ICs, daily returns, metrics."""
+        out = self.run_bt([name])
+        ls = backtest.nav(out.daily, "ls_ret", ("factor",)).select("factor", "trading_date", F.lit(0).alias("grp"), F.col("ls_ret").alias("ret"), "nv")
+        return {"nav": out.nav.select("factor", "trading_date", "grp", "ret", "nv").unionByName(ls), "ic": out.ic, "group_ic": out.group_ic, "daily": out.daily, "metrics": out.metrics}
+
     def evaluate(self, names: list[str] | None = None) -> DataFrame:
         return backtest.run_ic(self.calc(names).withColumn("value", F.col("cap_neued")), self.grid())
 

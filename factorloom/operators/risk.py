@@ -95,6 +95,13 @@ def worst_drawdown(df: DataFrame, ret: str = "ret") -> DataFrame:
     return j.agg(F.first("max_drawdown").alias("max_drawdown"), F.max(F.when(before, F.col("trading_date"))).alias("peak_date"), F.first("t.trading_date").alias("trough_date"), F.min(F.when(after, F.col("trading_date"))).alias("recovery_date"))
 
 
+def analyse(df: DataFrame, ret: str = "ret", level: float = 0.95) -> DataFrame:
+    """One row of figures of one series."""
+    c = F.col(ret)
+    one = df.agg(F.avg(c).alias("mean"), volatility(c).alias("volatility"), var_historical(c, level).alias("var"), var_normal(c, level).alias("var_normal"), var_student(c, level).alias("var_student"), cvar_normal(c, level).alias("cvar_normal"))
+    return one.join(F.broadcast(cvar_historical(df, ret, level).select("cvar"))).join(F.broadcast(worst_drawdown(df, ret)))
+
+
 def component_volatility(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
     total = sqrt(max(float(w @ cov @ w), 0.0))
     return w * (cov @ w) / total if total > 1e-15 else np.zeros_like(w)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DATES = re.compile(r"^\s*(\d{4}-?\d{2}-?\d{2})?\s*:\s*(\d{4}-?\d{2}-?\d{2})?\s*$")
@@ -79,6 +79,26 @@ def date_range(df: DataFrame) -> DataFrame:
     return df.agg(F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path) of the Parquet tables of a folder, listed by Spark's own file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    rows = sorted((f.getPath().getName().removesuffix(".parquet"), f.getPath().toString()) for f in found if f.getPath().getName().endswith(".parquet"))
+    return spark.createDataFrame(rows, "name string, path string")
+
+
+def columns(df: DataFrame) -> DataFrame:
+    """(name, type) of a table."""
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "name string, type string")
+
+
+def check_bars(df: DataFrame) -> DataFrame:
+    """One row of counts that should be zero: missing keys, repeated keys, high below low, negative volume."""
+    keys = df.groupBy("symbol", "trading_date").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("high") < F.col("low"), 1).otherwise(0)).alias("_hl"), F.sum(F.when(F.col("vol") < 0, 1).otherwise(0)).alias("_v"))
+    return keys.agg(F.sum(F.when(F.col("symbol").isNull() | F.col("trading_date").isNull(), F.col("_n")).otherwise(0)).alias("missing_keys"), F.sum(F.col("_n") - 1).alias("repeated_keys"), F.sum("_hl").alias("high_below_low"), F.sum("_v").alias("negative_volume"))
+
+
 def daily_rollup(df: DataFrame, order: str = "bar") -> DataFrame:
     """Intraday bars to daily ones; first and last are by bar order, so they are deterministic."""
     return df.groupBy("symbol", "trading_date").agg(

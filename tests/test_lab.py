@@ -38,6 +38,23 @@ def test_lab(lab):
     assert best.fitness > -1e6
 
 
+def test_own_functions(lab):
+    lab.define("halve", 1, lambda x: x / 2)
+    lab.register("half", "halve(close) / close")
+    assert {round(r["half"], 9) for r in lab.values(["half"]).collect()} == {0.5}
+    lab.unregister("half")
+    with pytest.raises(ValueError, match="built in"):
+        lab.define("abs", 1, lambda x: x)
+
+
+def test_tear_sheet_and_metadata(spark, lab, daily, sf_dir):
+    sheet = lab.tear_sheet("mom")
+    assert set(sheet) == {"nav", "ic", "group_ic", "daily", "metrics"} and {r["grp"] for r in sheet["nav"].select("grp").distinct().collect()} == {0, 1, 2, 3}
+    assert "lineitem" in {r["name"] for r in filters.tables(spark, sf_dir).collect()}
+    assert ("close", "double") in {tuple(r) for r in filters.columns(daily).collect()}
+    assert set(filters.check_bars(daily).first()) == {0}
+
+
 def test_batches_skip_failures(lab):
     failed = []
     lab.register("broken", "nosuchcolumn + 1")
@@ -55,8 +72,8 @@ def test_year_reset(lab):
 
 def test_policies_agree(daily, lab):
     want = None
-    for policy in ("all", "recent", "n", "none"):
-        lab.pool = Pool(policy)
+    for policy in ("all", "recent", "n", "none", "budget"):
+        lab.pool = Pool(policy, budget=1)
         lab.set_duration("1995-01-01", "1995-12-31")
         got = sorted(tuple(r) for r in lab.evaluate().select("factor", F.round("ic_mean", 9)).collect())
         assert want is None or got == want

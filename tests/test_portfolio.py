@@ -118,6 +118,8 @@ def test_risk_figures(spark):
     w = risk.worst_drawdown(series(spark, [0.1, -0.2, 0.0, 0.5, -0.1])).first()
     assert w["max_drawdown"] == pytest.approx(0.2) and (w["peak_date"].day, w["trough_date"].day, w["recovery_date"].day) == (1, 2, 4)
     assert risk.rolling(s, 4, 3).count() == 3
+    a = risk.analyse(s, level=0.9).first()
+    assert a["cvar"] == c["cvar"] and a["var"] == v and a["max_drawdown"] > 0
 
 
 def test_factor_model(spark):
