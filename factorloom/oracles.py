@@ -308,3 +308,29 @@ SELECT min(trading_date) AS start, max(trading_date) AS end_date, count(*) AS n,
     "sector_weights": f"SELECT s_suppkey AS symbol, r_name AS sector, {rnd('greatest(s_acctbal, 0) / (SELECT sum(greatest(s_acctbal, 0)) FROM supplier)')} AS bench_weight FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "cs_to_percentiles_cols": f"WITH {MONTH} SELECT symbol, trading_date, {rnd('CASE WHEN x IS NOT NULL AND count(x) OVER s >= 2 THEN CASE WHEN stddev_samp(x) OVER s < 1e-15 THEN 0 ELSE (x - avg(x) OVER s) / stddev_samp(x) OVER s END END')} AS value FROM bars WINDOW s AS (PARTITION BY symbol)",
 }
+
+#: Student's t with 5 degrees of freedom at 0.05, scaled to the sample's deviation; and the normal density ratio there.
+T5, NORMAL_TAIL = -2.015048373333024 * (3 / 5) ** 0.5, 2.0627128075074257
+RANKED = """ok AS (SELECT * FROM joined WHERE value IS NOT NULL AND fwd_ret IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY factor, trading_date ORDER BY value) - 1 + (count(*) OVER (PARTITION BY factor, trading_date, value) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY factor, trading_date ORDER BY fwd_ret) - 1 + (count(*) OVER (PARTITION BY factor, trading_date, fwd_ret) - 1) / 2.0 AS rb FROM ok)"""
+LAGS = range(1, 5)
+ORACLES |= {
+    "risk_student": f"{SER} SELECT {rnd(f'-(avg(ret) + {T5!r} * stddev_samp(ret))', 6)} AS student, {rnd(f'-(avg(ret) - {NORMAL_TAIL!r} * stddev_samp(ret))', 6)} AS cvar_normal FROM ser",
+    "risk_worst": f"""{SER},
+{PEAK},
+t AS (SELECT trading_date AS td, peak AS tp, drawdown AS tdd FROM dd ORDER BY drawdown DESC, trading_date LIMIT 1)
+SELECT {rnd('any_value(tdd)')} AS max_drawdown, CAST(max(CASE WHEN nv >= tp AND trading_date <= td THEN trading_date END) AS VARCHAR) AS peak_date, CAST(any_value(td) AS VARCHAR) AS trough_date, CAST(min(CASE WHEN nv >= tp AND trading_date > td THEN trading_date END) AS VARCHAR) AS recovery_date FROM dd, t""",
+    "risk_barra": f"""{WIDE},
+m AS (SELECT trading_date, count(*) AS n, sum(a * a) + 1e-10 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-10 AS bb, sum(a * fwd_ret) AS ay, sum(b * fwd_ret) AS bw, avg(fwd_ret) AS my FROM wide WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1 HAVING count(*) >= 4),
+f AS (SELECT *, (bb * ay - ab * bw) / (aa * bb - ab * ab) AS fa, (aa * bw - ab * ay) / (aa * bb - ab * ab) AS fb FROM m),
+e AS (SELECT trading_date, sum(pow(fwd_ret - a * fa - b * fb, 2)) AS rest, sum(pow(fwd_ret - my, 2)) AS total FROM wide JOIN f USING (trading_date) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)
+SELECT trading_date, {rnd('fa', 6)} AS a, {rnd('fb', 6)} AS b, {rnd('CASE WHEN total > 1e-15 THEN 1 - rest / total ELSE 0 END', 6)} AS r2, n FROM f JOIN e USING (trading_date)""",
+    "ic_statistics": f"""{BASE},
+{RANKED},
+daily AS (SELECT factor, trading_date, {pear('ra', 'rb', 3, 'NULL')} AS ric, {pear('value', 'fwd_ret', 3, 'NULL')} AS ic FROM rk GROUP BY 1, 2),
+lagged AS (SELECT *, {', '.join(f'lag(ric, {k}) OVER s AS l{k}' for k in LAGS)} FROM daily WHERE ric IS NOT NULL WINDOW s AS (PARTITION BY factor ORDER BY trading_date))
+SELECT factor, {rnd('avg(ric)')} AS rank_ic_mean, {rnd('avg(ric) / nullif(stddev_samp(ric), 0)')} AS rank_ic_ir, {rnd('avg(ic)')} AS ic_mean, {rnd('avg(ic) / nullif(stddev_samp(ic), 0)')} AS ic_ir,
+  {rnd('avg(ric) / nullif(stddev_samp(ric), 0) * sqrt(count(ric))')} AS t_stat, {rnd('avg(CASE WHEN ric > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_ratio, {', '.join(f"{rnd(pear('ric', f'l{k}', 3, 'NULL'))} AS autocorr_{k}" for k in LAGS)}
+FROM lagged GROUP BY factor""",
+}

@@ -277,7 +277,7 @@ def risk_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_student(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("ret")
-    return _returns(spark, sf_dir).agg(r(risk.var_student(c)).alias("student"), r(risk.cvar_normal(c)).alias("cvar_normal"))
+    return _returns(spark, sf_dir).agg(r(risk.var_student(c), 6).alias("student"), r(risk.cvar_normal(c), 6).alias("cvar_normal"))
 
 
 def risk_dd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +285,8 @@ def risk_dd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.worst_drawdown(_returns(spark, sf_dir)).withColumn("max_drawdown", r("max_drawdown"))
+    out = risk.worst_drawdown(_returns(spark, sf_dir))
+    return out.select(r("max_drawdown").alias("max_drawdown"), *[F.col(c).cast("string").alias(c) for c in ("peak_date", "trough_date", "recovery_date")])
 
 
 def risk_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +295,7 @@ def risk_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_barra(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = risk.factor_returns(_wide(spark, sf_dir), ["a", "b"])
-    return out.select("trading_date", r("a").alias("a"), r("b").alias("b"), r("r2").alias("r2"), "n")
+    return out.select("trading_date", r("a", 6).alias("a"), r("b", 6).alias("b"), r("r2", 6).alias("r2"), "n")
 
 
 def risk_factor_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
