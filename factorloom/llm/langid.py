@@ -27,7 +27,7 @@ from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
-EPOCHS, UPDATES, BATCH, RATE = 12, 800, 32, 0.5  # epochs, and updates at least
+EPOCHS, UPDATES, BATCH, RATE = 12, 400, 32, 0.5  # epochs, and updates at least
 #: Labelled documents a language that the model is fitted on, about; languages at most.
 PER_LANG, MAX_LANGS = 400, 1000
 #: Share of right answers that the threshold may reject, and the threshold's upper bound.
@@ -129,8 +129,9 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
         rng.shuffle(train)
         for a in range(0, len(train), BATCH):
             rows = train[a : a + BATCH]
-            x = dense(rows)
-            mean = x @ emb
+            cols = np.flatnonzero(np.bincount(np.concatenate([counts[i][0] for i in rows]), minlength=BUCKETS))
+            x = dense(rows)[:, cols]  # only subwords of the batch move
+            mean = x @ emb[cols]
             z = mean @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -139,7 +140,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             back = p @ out.T
             out -= rate * 4 * (mean.T @ p)
             bias -= rate * p.sum(axis=0)
-            emb -= rate * 200 * (x.T @ back)  # a subword's share of a document is small, so its step is larger
+            emb[cols] -= rate * 200 * (x.T @ back)  # a subword's share of a document is small, so its step is larger
     model = Model(langs, np.vstack([emb @ out, np.zeros((1, k), np.float32)]), bias)
     if len(held):
         z = np.concatenate([dense(held[a : a + 256]) @ emb @ out + bias for a in range(0, len(held), 256)])
