@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def run(panel: DataFrame, prices: DataFrame, config: BacktestConfig | None = Non
     weighted = weights(labelled, config.quantiles, config.weight_method)
     joined = labelled.join(prices.select("trading_date", "symbol", "fwd_ret", "tradable"), ["trading_date", "symbol"])
     ic = ic_series(joined)
-    returns = group_returns(weighted, prices, config)
+    returns = group_returns(weighted, prices, config).persist(StorageLevel.MEMORY_AND_DISK)  # small, and all that follows reads it
     ls = long_short(returns, config)
     first = Window.orderBy("trading_date")
     bench = prices.select("trading_date").distinct().withColumn("_next", F.lead("trading_date").over(first)).join(passive(prices), "trading_date")
