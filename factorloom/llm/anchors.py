@@ -4,6 +4,8 @@ Every window of `span` bytes picks its smallest gram of `gram` bytes by hash (le
 pick the same gram at the same offset, so windows only need to be compared within groups of one gram hash.
 Neighbouring windows mostly pick the same gram; such a run of windows is one anchor, and the bytes they cover
 are its context.
+
+Units are bytes, or words where data holds their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, span: int) -> Iter
         if n < span:
             continue
         run = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[part] * powers(int(_BASE), n), out=run[1:])
+        np.cumsum((part if part.dtype == np.uint64 else _TABLE[part]) * powers(int(_BASE), n), out=run[1:])
         inverse = powers(int(_INVERSE), n + 1)
         h = mix((run[gram:] - run[:-gram]) * inverse[: n - gram + 1])
         width = span - gram + 1

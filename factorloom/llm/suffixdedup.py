@@ -11,6 +11,9 @@
    no limit and needs no task to hold a group.
 4. Repeated windows return to their documents as spans.
 
+With `words` the same runs a second time over words (runs of non-blank bytes, by 64-bit hash), so that passages of that
+many whole words go as well, however short in bytes and whatever blanks stand between; what either way finds is removed.
+
 Strings are judged on the input; a first occurrence is removed like any other; matches never cross documents.
 
 Defined results: a null text is empty; texts shorter than span keep all; repeated rows repeat each other; null ids
@@ -31,9 +34,13 @@ from pyspark.sql.types import StructType
 from . import xsort
 from .anchors import anchors
 from .common import materialize, schema_of, text_bytes, texts, whole_row
-from .words import _BASE, _INVERSE, _TABLE, mix, powers
+from .words import _BASE, _INVERSE, _TABLE, mix, powers, word_bounds, word_hashes
 
 SPAN, GRAM = 400, 100
+#: Words of a passage, and of the gram that brings equal passages together.
+WORDS, WORD_GRAM = 51, 13
+_NONBLANK = np.ones(256, bool)
+_NONBLANK[[9, 10, 11, 12, 13, 32]] = False
 #: Bytes of contexts in a shard, about; and under one hash at most.
 SHARD_BYTES, HOT_BYTES = 5 << 19, 2 << 20
 _KEY = "k long, size int"
@@ -45,12 +52,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col, whole_row(docs), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(1)).alias("k"), F.octet_length(text).alias("size"))[0]
 
 
-def find_anchors(docs: DataFrame, text_col: str, span: int, gram: int) -> DataFrame:
+def units(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, or the hashes of the words, of a text column and the offsets of its rows."""
+    data, offsets = text_bytes(column)
+    if not words:
+        return data, offsets
+    starts, ends = word_bounds(data, offsets, _NONBLANK)
+    return word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def find_anchors(docs: DataFrame, text_col: str, span: int, gram: int, words: bool = False) -> DataFrame:
     """(h, c, k, size, p, n): gram hash, context hash, document, first window and number of windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = units(batch.column(2), words)
             k, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, p, n, h, c in anchors(data, offsets, gram, span):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k[row]), pa.array(size[row]), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "c", "k", "size", "p", "n"])
@@ -64,7 +80,7 @@ def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _fetch(forms: DataFrame, docs: DataFrame, text_col: str, span: int) -> DataFrame:
+def _fetch(forms: DataFrame, docs: DataFrame, text_col: str, span: int, words: bool = False) -> DataFrame:
     """(h, c, times, n, bytes) of each form, read from the document that stands for it."""
     need = forms.groupBy("k", "size").agg(F.collect_list(F.struct("h", "c", "times", "p", "n")).alias("need"))
     joined = docs.select("k", "size", F.col(f"row.`{text_col}`").alias("text")).join(need, ["k", "size"]).select("k", "text", "need")
@@ -72,22 +88,22 @@ def _fetch(forms: DataFrame, docs: DataFrame, text_col: str, span: int) -> DataF
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None  # equal documents follow each other
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            raw = data.tobytes()
+            data, offsets = units(batch.column(1), words)
+            raw, size = data.tobytes(), data.itemsize
             out: list[tuple] = []
             for r, k in enumerate(batch.column(0).to_pylist()):
                 if k == seen:
                     continue
                 seen = k
                 a = int(offsets[r])
-                out += [(x["h"], x["c"], x["times"], x["n"], raw[a + x["p"] : a + x["p"] + x["n"] + span - 1]) for x in batch.column(2)[r].as_py()]
+                out += [(x["h"], x["c"], x["times"], x["n"], raw[(a + x["p"]) * size : (a + x["p"] + x["n"] + span - 1) * size]) for x in batch.column(2)[r].as_py()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "c", "times", "n", "bytes"])
 
     return joined.mapInArrow(cut, "h long, c long, times long, n int, bytes binary")
 
 
-def sort_shard(span: int, memory: int) -> Callable[[pa.Table], pa.Table]:
+def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Table], pa.Table]:
     """The repeated windows of one shard of forms, as flat (first, after the last) pairs for each form."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -97,9 +113,12 @@ def sort_shard(span: int, memory: int) -> Callable[[pa.Table], pa.Table]:
         one = order[np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))]
         data, offsets = text_bytes(t.column("bytes").take(pa.array(one)))
         h, c, n, times = h[one], c[one], n[one], times[one]
+        if words:  # numbered as they occur in the shard
+            data, offsets = np.unique(data.view(np.uint64), return_inverse=True)[1], offsets // 8
         base = offsets[:-1] + np.arange(len(one))
-        text = np.ones(int(offsets[-1]) + len(one), np.uint16)  # 1 ends a context, bytes follow from 2
-        text[np.arange(len(data)) + np.repeat(np.arange(len(one)), np.diff(offsets))] = data.astype(np.uint16) + 2
+        kind = np.uint32 if words else np.uint16
+        text = np.ones(int(offsets[-1]) + len(one), kind)  # 1 ends a context, bytes or words follow from 2
+        text[np.arange(len(data)) + np.repeat(np.arange(len(one)), np.diff(offsets))] = data.astype(kind) + 2
         hit = xsort.repeated(text, span, memory)
         spans = []
         for b, m, k in zip(base.tolist(), n.tolist(), times.tolist(), strict=True):
@@ -113,18 +132,18 @@ def sort_shard(span: int, memory: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _windows(hot: DataFrame, span: int) -> DataFrame:
+def _windows(hot: DataFrame, span: int, words: bool = False) -> DataFrame:
     """(w, x, h, c, i): two hashes of every window of hot forms."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, c, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for r, b in enumerate(batch.column(3)):
-                data = np.frombuffer(b.as_py(), np.uint8)
+                data = np.frombuffer(b.as_py(), np.uint64) if words else _TABLE[np.frombuffer(b.as_py(), np.uint8)]
                 both = []
                 for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
                     run = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum(mix(_TABLE[data] + salt) * powers(int(_BASE), len(data)), out=run[1:])
+                    np.cumsum(mix(data + salt) * powers(int(_BASE), len(data)), out=run[1:])
                     both.append(mix((run[span:] - run[:-span]) * powers(int(_INVERSE), len(data) + 1)[: len(data) - span + 1])[: n[r]].view(np.int64))
                 m = len(both[0])
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(m, h[r])), pa.array(np.full(m, c[r])), pa.array(np.arange(m, dtype=np.int32))], names=["w", "x", "h", "c", "i"])
@@ -132,24 +151,25 @@ def _windows(hot: DataFrame, span: int) -> DataFrame:
     return hot.select("h", "c", "n", "bytes").mapInArrow(scan, "w long, x long, h long, c long, i int")
 
 
-def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
-    """keyed docs -> (k, size, spans): byte ranges to remove, flat and in no order, for documents that have any."""
-    every = materialize(find_anchors(docs, text_col, span, gram))
+def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_bytes: int, hot_bytes: int, words: bool = False) -> DataFrame:
+    """keyed docs -> (k, size, spans): ranges of bytes (or words) to remove, flat and in no order, for documents that have any."""
+    width = 8 if words else 1
+    every = materialize(find_anchors(docs, text_col, span, gram, words))
     again = every.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).where("_n > 1").drop("_n")
     again = materialize(again)  # a join of two plain scans can be split where a hash is common
     every = materialize(every.join(again, "h"))
     mixed = every.where("mixed")
     forms = materialize(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "size", "p", "n")).alias("one")).select("h", "c", "times", "one.*"))
-    hot = materialize(forms.groupBy("h").agg(F.sum((F.col("n") + span - 1).cast("long")).alias("b")).where(F.col("b") > hot_bytes).select("h"))
+    hot = materialize(forms.groupBy("h").agg(F.sum((F.col("n") + span - 1).cast("long") * width).alias("b")).where(F.col("b") > hot_bytes).select("h"))
     any_hot = bool(hot.limit(1).count())
-    total = forms.agg(F.sum((F.col("n") + span - 1).cast("long"))).first()[0] or 0
+    total = forms.agg(F.sum((F.col("n") + span - 1).cast("long") * width)).first()[0] or 0
     shards = int(total // shard_bytes) + 1
-    bytes_ = materialize(_fetch(forms, docs, text_col, span))
+    bytes_ = materialize(_fetch(forms, docs, text_col, span, words))
     out = "h long, c long, spans array<int>"
     cool = bytes_.join(hot, "h", "left_anti") if any_hot else bytes_
-    found = cool.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(sort_shard(span, xsort_memory(shard_bytes)), out)
+    found = cool.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(sort_shard(span, xsort_memory(shard_bytes), words), out)
     if any_hot:
-        every_window = materialize(_windows(bytes_.join(hot, "h", "left_semi").dropDuplicates(["h", "c"]), span))
+        every_window = materialize(_windows(bytes_.join(hot, "h", "left_semi").dropDuplicates(["h", "c"]), span, words))
         twice = every_window.groupBy("w", "x").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
         starts = every_window.join(twice, ["w", "x"]).select("h", "c", F.array("i", F.col("i") + 1).alias("spans"))
         whole = forms.join(hot, "h", "left_semi").where("times > 1").select("h", "c", F.array(F.lit(0), F.col("n")).alias("spans"))
@@ -166,15 +186,29 @@ def xsort_memory(shard_bytes: int) -> int:
     return max(48 << 20, 8 * shard_bytes)
 
 
-def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs through finish(array of row structs, list of merged (first, after the last) arrays), which gives rows of `out`."""
+def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", words: tuple[int, int] | None = None) -> DataFrame:
+    """Every row of docs through finish(array of row structs, list of merged (first, after the last) arrays), which gives rows of `out`. words: span and gram in words, to remove such passages too."""
     docs = keyed(docs, id_col, text_col)
     spans = find_repeats(docs, text_col, span, gram, shard_bytes, hot_bytes)
-    joined = docs.join(spans, ["k", "size"], "left").select("row", "spans")
+    none = F.lit(None).cast("array<int>")
+    spans = spans.withColumn("of_words", none)
+    if words:
+        more = find_repeats(docs, text_col, *words, shard_bytes, hot_bytes, True).select("k", "size", none.alias("spans"), F.col("spans").alias("of_words"))
+        spans = spans.unionByName(more).groupBy("k", "size").agg(F.first("spans", True).alias("spans"), F.first("of_words", True).alias("of_words"))
+    joined = docs.join(spans, ["k", "size"], "left").select("row", "spans", "of_words")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            merged = [merge(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64)) if x.is_valid else np.zeros((0, 2), np.int64) for x in batch.column(1)]
+            found = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(1)]
+            if words:
+                texts_ = batch.column(0).field(text_col)
+                for r, x in enumerate(batch.column(2)):
+                    if x.is_valid:
+                        data, offsets = text_bytes(texts_.slice(r, 1))
+                        starts, ends = word_bounds(data, offsets, _NONBLANK)
+                        w = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).reshape(-1, 2)
+                        found[r] = np.concatenate([found[r], np.stack([starts[w[:, 0]], ends[w[:, 1] - 1]], axis=1).ravel()])
+            merged = [merge(x) for x in found]
             yield finish(batch.column(0), merged)
 
     return joined.mapInArrow(scan, out)
