@@ -122,16 +122,16 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS
     return fps.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean").groupBy("leaf").applyInPandas(match, "u long, v long")
 
 
-def labelled(points: DataFrame, radius: int, shard_points: int) -> DataFrame:
-    """points (one row for each distinct fp) with `label`, equal within a component."""
-    label = components(links(points, radius, shard_points))
+def labelled(points: DataFrame, label: DataFrame) -> DataFrame:
+    """points (one row for each distinct fp) with `label`, equal within a component; label: (node, label) of linked points."""
     return materialize(points.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_points: int = SHARD_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     each = materialize(fingerprints(docs, shingle, None, id_col, text_col))
-    points = labelled(materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius, shard_points)
+    points = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = labelled(points, components(links(points, radius, shard_points)))
     least = points.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = points.join(least, "label").select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -140,8 +140,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard_points: int = SHARD_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component: the one with the smallest id (a null one last), then the smallest fingerprint and text."""
     each = materialize(fingerprints(docs, shingle, whole_row(docs), id_col, text_col))
+    return choose(each, components(links(each.select("fp").distinct(), radius, shard_points)), id_col, text_col)
+
+
+def choose(each: DataFrame, label: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of representatives, from all rows (row, fp) and the (node, label) of linked fps."""
     order = F.struct(F.col("id").isNull(), "id", "fp")
-    points = labelled(materialize(each.select("fp", F.col(f"row.`{id_col}`").alias("id")).groupBy("fp").agg(F.min(order).alias("least"))), radius, shard_points)
+    points = labelled(materialize(each.select("fp", F.col(f"row.`{id_col}`").alias("id")).groupBy("fp").agg(F.min(order).alias("least"))), label)
     chosen = points.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.fp").alias("fp"), F.col("least.id").alias("id"))
     key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("none")).alias("key")
     keyed = each.withColumn("id", F.col(f"row.`{id_col}`")).select("row", "fp", key)
