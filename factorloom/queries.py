@@ -21,6 +21,8 @@ from .sources import bars, filters
 __all__ = ["ORACLES", "QUERIES"]
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 8
+#: Symbols of a portfolio at most: a covariance of 8 MB.
+PORTFOLIO = 1000
 
 
 def r(c: Column | str, digits: int = DIGITS) -> Column:
@@ -248,9 +250,13 @@ def cost_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def optimiser(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten symbols over two years."""
-    few = _sig(spark, sf_dir).where("symbol < 10 and trading_date < '1997-01-01'").withColumn("signal", F.col("signal") / 1000).withColumn("portfolio", F.lit(kind))
-    return optimize.optimise(few, kind, 24).select("portfolio", "symbol", "trading_date", r("weight", 4).alias("weight"))
+    """All symbols and dates, in equal portfolios of at most PORTFOLIO symbols, whose covariance fits a task."""
+    rows = _sig(spark, sf_dir).withColumn("signal", F.col("signal") / 1000)
+    symbols = rows.select("symbol").distinct()
+    n = max(1, -(-symbols.count() // PORTFOLIO))
+    place = F.row_number().over(Window.orderBy("symbol")) % n
+    of = symbols.select("symbol", (F.lit(kind) if n == 1 else F.concat(F.lit(f"{kind}-"), place.cast("string"))).alias("portfolio"))
+    return optimize.optimise(rows.join(of, "symbol"), kind, 24).select("portfolio", "symbol", "trading_date", r("weight", 4).alias("weight"))
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
