@@ -338,8 +338,8 @@ def ic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short seeded search."""
-    b = monthly(spark, sf_dir).where("symbol < 40")
+    """A short seeded search over all symbols."""
+    b = monthly(spark, sf_dir)
     c = search.SearchConfig(population=8, generations=2, max_depth=3, elite=2, seed=7)
     found = search.search(b, prices.price_grid(b).select("symbol", "trading_date", "fwd_ret"), ["close", "vol", "vwap"], c)
     rows = [(i, search.text(x.tree), float(round(x.fitness, 6))) for i, x in enumerate(found.population)]

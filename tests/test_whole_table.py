@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom import queries
-from factorloom.operators import covariance, optimize
+from factorloom.operators import covariance, optimize, search
 
 
 @pytest.mark.parametrize("limit", [1000, 4])
@@ -27,3 +27,18 @@ def test_optimisers(spark, sf_dir, monkeypatch, kind, limit):
             cov = covariance.sample(past) if len(past) >= 2 else np.eye(s.shape[1])
             before = optimize.optimise_date(kind, np.nan_to_num(s.to_numpy()[day]), cov + 1e-10 * np.eye(len(cov)), before)
             assert np.allclose(w.to_numpy()[day], before, atol=1e-4)
+
+
+def test_search(spark, monkeypatch):
+    """On a table of more than 40 symbols."""
+    sf_dir, seen = "/root/testdata/sf0.01", []
+
+    def spy(bars, returns, *_):
+        seen.extend(df.select("symbol").distinct().count() for df in (bars, returns))
+        return search.SearchResult(None, [])
+
+    monkeypatch.setattr(search, "search", spy)
+    monkeypatch.setattr(spark, "createDataFrame", lambda *_: None, raising=False)
+    queries.gp_search(spark, sf_dir)
+    all_ = queries.monthly(spark, sf_dir).select("symbol").distinct().count()
+    assert seen == [all_, all_] and all_ > 40
