@@ -11,8 +11,8 @@ Items are taken in blocks of bounded bytes, so that what is broadcast is bounded
 is; each block scans the documents, hits and items carried along as columns. Nothing about documents is
 shuffled but the counts of item shingles.
 
-Defined results: a null or wordless text has no words, no hits and is clean; null item texts and null
-item_ids have no windows; equal items hit together; repeated documents are judged one by one; an empty
+Defined results: a null or wordless text has no words, no hits and is clean; null item texts have
+no windows; an item with a null item_id hits, but isn't counted or listed; equal items hit together; repeated documents are judged one by one; an empty
 benchmark leaves all clean; further columns are ignored.
 """
 
@@ -57,7 +57,7 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
 
 
 def build_block(items: list[tuple[int, str]], size: int, shingle: int) -> Block:
-    items = [(i, t) for i, t in items if i is not None and t]
+    items = [(i, t) for i, t in items if t]
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
     data = lower(data)
     s, e = word_bounds(data, offsets)
@@ -80,7 +80,8 @@ def build_block(items: list[tuple[int, str]], size: int, shingle: int) -> Block:
                 starts.append(a)
                 sizes.append(w)
                 owners.append(set())
-            owners[seen[key]].add(item)
+            if item is not None:
+                owners[seen[key]].add(item)
     block = Block(list(number), np.array(starts, np.int64), np.array(sizes, np.int64), seq, h, [np.array(sorted(o), np.int64) for o in owners])
     for width in sorted({min(shingle, w) for w in sizes}):
         mine = np.flatnonzero(np.minimum(block.sizes, shingle) == width)
@@ -233,7 +234,7 @@ def _scanner(held, last: bool, name: str, text_col: str) -> Callable:  # noqa: A
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about block_bytes, each small enough for the driver and a broadcast."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and length(text) > 0").distinct()
+    items = benchmark.select("item_id", "text").where("length(text) > 0").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
