@@ -2,11 +2,16 @@
 
 Spaces stand for the vocabulary's space mark. Nodes are byte places of a word (0 .. its length); an edge is a
 piece between two of them. Where no one-character piece fits, an edge of the unknown piece spans the character.
+
+Many short words are swept place by place, all at once; a few long ones edge by edge. A byte of a word costs about 200 bytes
+of memory and a few microseconds for usual pieces, up to 1,000 bytes of memory where pieces of all lengths fit.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -147,11 +152,40 @@ def build(vocab: Vocab, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return Lattice(base, length, w, a, src, dst, p, group, np.searchsorted(places, np.arange(1, (int(places[-1]) if len(places) else 0) + 2)))
 
 
+#: Below so many edges a place, sweeps go edge by edge; edges that become Python numbers at once.
+_THIN, _BLOCK = 32, 1 << 16
+
+
+def _edge_blocks(*columns: np.ndarray) -> Iterator[tuple]:
+    """Rows of equally long columns as Python numbers, in bounded blocks."""
+    for a in range(0, len(columns[0]), _BLOCK):
+        yield from zip(*(c[a : a + _BLOCK].tolist() for c in columns), strict=True)
+
+
+def _accumulate(values: np.ndarray, source: np.ndarray, target: np.ndarray, score: np.ndarray, marginal: bool) -> np.ndarray:
+    """values[target] = best or log-sum of values[source] + score, edge by edge in the given order."""
+    out, floor = values.tolist(), -math.inf
+    if not marginal:
+        for s, t, x in _edge_blocks(source, target, score):
+            x += out[s]
+            if x > out[t]:
+                out[t] = x
+        return np.array(out)
+    for s, t, x in _edge_blocks(source, target, score):
+        x, y = x + out[s], out[t]
+        if x < y:
+            x, y = y, x
+        out[t] = x if y == floor else x + math.log1p(math.exp(y - x))
+    return np.array(out)
+
+
 def _sweep(lat: Lattice, score: np.ndarray, marginal: bool) -> np.ndarray:
     """Forward scores of all nodes: best path, or log of the sum over paths."""
     nodes = int(lat.base[-1] + lat.length[-1] + 1) if len(lat.base) else 0
     alpha = np.full(nodes, -np.inf)
     alpha[lat.base] = 0.0
+    if len(lat.src) < _THIN * len(lat.cuts):
+        return _accumulate(alpha, lat.src, lat.dst, score, marginal)
     bounds = np.append(lat.group, len(lat.src))
     for lo, hi in zip(lat.cuts[:-1].tolist(), lat.cuts[1:].tolist(), strict=True):
         if lo == hi:
@@ -186,6 +220,9 @@ def best_edges(lat: Lattice, score: np.ndarray, alpha: np.ndarray) -> np.ndarray
 def best_paths(lat: Lattice, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges of all best paths, word after word from its start; number of edges of each word)."""
     words, cur = np.arange(len(lat.base)), lat.base + lat.length
+    if len(lat.src) < _THIN * len(lat.cuts):
+        paths = [_trace(lat, back, int(a), int(z)) for a, z in zip(lat.base, cur, strict=True)]
+        return np.concatenate([np.zeros(0, np.int64), *paths]), np.array([len(x) for x in paths], np.int64)
     edges, owner = [], []
     while True:
         on = cur > lat.base[words]
@@ -202,6 +239,14 @@ def best_paths(lat: Lattice, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[np.argsort(w, kind="stable")], np.bincount(w, minlength=len(lat.base))
 
 
+def _trace(lat: Lattice, back: np.ndarray, start: int, node: int) -> np.ndarray:
+    path, src = [], lat.src
+    while node > start:
+        path.append(e := int(back[node]))
+        node = int(src[e])
+    return np.array(path[::-1], np.int64)
+
+
 def _from_start(lat: Lattice) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Edges by falling start in the word, and the ranges of equal starts."""
     key = -lat.place.astype(np.int64) if len(lat.place) and lat.place.max() > 65535 else (65535 - lat.place).astype(np.uint16)
@@ -210,25 +255,27 @@ def _from_start(lat: Lattice) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return order, [(a, z) for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(order)], strict=True) if a < z]
 
 
-def backward(lat: Lattice, score: np.ndarray) -> np.ndarray:
-    """Log of the sum over paths from each node to the end of its word."""
+def _backward(lat: Lattice, score: np.ndarray, marginal: bool) -> np.ndarray:
+    """Best path, or log of the sum over paths, from each node to the end of its word."""
     beta = np.full(int(lat.base[-1] + lat.length[-1] + 1) if len(lat.base) else 0, -np.inf)
     beta[lat.base + lat.length] = 0.0
     order, ranges = _from_start(lat)
     src, dst, s = lat.src[order], lat.dst[order], score[order]
+    if len(order) < _THIN * len(ranges):
+        return _accumulate(beta, dst, src, s, marginal)
+    join = np.logaddexp if marginal else np.maximum
     for a, z in ranges:
-        np.logaddexp.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
+        join.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
     return beta
 
 
+def backward(lat: Lattice, score: np.ndarray) -> np.ndarray:
+    return _backward(lat, score, True)
+
+
 def gaps(lat: Lattice, score: np.ndarray, alpha: np.ndarray, path: np.ndarray) -> np.ndarray:
     """Best minus second-best score of each word (inf where there is one segmentation): another path has an edge off the best one, so the second best is the best path through one."""
-    beta = np.full(len(alpha), -np.inf)
-    beta[lat.base + lat.length] = 0.0
-    order, ranges = _from_start(lat)
-    src, dst, s = lat.src[order], lat.dst[order], score[order]
-    for a, z in ranges:
-        np.maximum.at(beta, src[a:z], beta[dst[a:z]] + s[a:z])
+    beta = _backward(lat, score, False)
     off = np.ones(len(lat.src), bool)
     off[path] = False
     second = np.full(len(lat.base), -np.inf)
@@ -237,11 +284,16 @@ def gaps(lat: Lattice, score: np.ndarray, alpha: np.ndarray, path: np.ndarray) -
     return totals(lat, alpha) - second
 
 
-def n_best(lat: Lattice, score: np.ndarray, alpha: np.ndarray, word: int, n: int, into: dict[int, list[int]]) -> list[tuple[float, list[int]]]:
+def n_best(lat: Lattice, score: np.ndarray, alpha: np.ndarray, word: int, n: int) -> list[tuple[float, list[int]]]:
     """The n best (score, pieces) of one word. A* runs from the end; the forward Viterbi score of a node is the
-    exact cost still to come, so hypotheses leave the heap in the order of their final scores."""
+    exact cost still to come, so hypotheses leave the heap in the order of their final scores.
+
+    Of equal scores the newest goes on, so ties run straight to the start instead of side by side. A node is left n times
+    at most: every later hypothesis there has n at least as good ones before it, with the same best way to the start.
+    """
     start, end = int(lat.base[word]), int(lat.base[word] + lat.length[word])
-    heap, found, tick = [(-float(alpha[end]), 0, end, 0.0, None)], [], 0
+    heap, found, tick, left = [(-float(alpha[end]), 0, end, 0.0, None)], [], 0, {}
+    first, last = edges_into(lat)
     while heap and len(found) < n:
         f, _, node, done, tail = heapq.heappop(heap)
         if node == start:
@@ -251,17 +303,21 @@ def n_best(lat: Lattice, score: np.ndarray, alpha: np.ndarray, word: int, n: int
                 tail = tail[1]
             found.append((-f, path))
             continue
-        for e in into.get(node, ()):
+        left[node] = left.get(node, 0) + 1
+        if left[node] > n:
+            continue
+        for e in range(int(last[node]) - 1, int(first[node]) - 1, -1):  # the longest piece is the newest
             src, g = int(lat.src[e]), done + float(score[e])
             if alpha[src] > -np.inf:
-                tick += 1
+                tick -= 1
                 heapq.heappush(heap, (-(g + float(alpha[src])), tick, src, g, (int(lat.piece[e]), tail)))
     return found
 
 
-def edges_into(lat: Lattice) -> dict[int, list[int]]:
-    """Incoming edges of each node; for lattices of a few words."""
-    out: dict[int, list[int]] = {}
-    for k, d in enumerate(lat.dst.tolist()):
-        out.setdefault(d, []).append(k)
-    return out
+def edges_into(lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """The range of incoming edges of each node."""
+    nodes = int(lat.base[-1] + lat.length[-1] + 1) if len(lat.base) else 0
+    first, last = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+    at = lat.dst[lat.group]
+    first[at], last[at] = lat.group, np.append(lat.group[1:], len(lat.dst))
+    return first, last
