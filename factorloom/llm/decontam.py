@@ -7,27 +7,28 @@ with prefix shingles only. A probe at word p for a shingle at offset o of a wind
 start p-o; the positional bound wants p-o >= 0 and the length bound p-o+n <= the document's words. What is
 left is verified word by word on the bytes.
 
-Items are taken in blocks of bounded bytes, so that what is broadcast is bounded however large the benchmark
-is; each block scans the documents, hits and items carried along as columns. Nothing about documents is
-shuffled but the counts of item shingles.
-
-Defined results: a null or wordless text has no words, no hits and is clean; null item texts have
-no windows; an item with a null item_id hits, but isn't counted or listed; equal items hit together; repeated documents are judged one by one; an empty
-benchmark leaves all clean; further columns are ignored.
+Items are taken in blocks of bounded bytes, so that what is broadcast is bounded however large the benchmark is. One block
+is one scan of the documents, and nothing about them is shuffled but the counts of item shingles. Of several blocks one
+is broadcast at a time; each leaves a table of the hits of the texts that have any, and these meet by two hashes of the text.
+
+Defined results: a null or wordless text has no words, no hits and is clean; null item texts have no windows; an item
+with a null item_id hits, but isn't counted or listed; an item_id may be of any type, and is listed as a string; equal
+items hit together; repeated documents are judged one by one; very long texts are read whole, one at a time; an empty
+benchmark leaves all clean; an empty table gives no rows; further columns are ignored or, with `carry`, kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_of, steps, text_bytes, text_of, texts
+from .common import materialize, schema_of, steps, text_bytes, text_of, texts
 from .words import lower, run_hashes, word_bounds, word_hashes
 
 WINDOW, SHINGLE = 13, 5
@@ -45,7 +46,7 @@ class Block:
     sizes: np.ndarray  # its words
     seq: np.ndarray  # word numbers of all items, one after the other
     seq_hash: np.ndarray  # their hashes
-    owners: list[np.ndarray] = field(default_factory=list)  # item_ids of each window
+    owners: list[tuple[str, ...]] = field(default_factory=list)  # item_ids of each window
     shingles: dict[int, np.ndarray] = field(default_factory=dict)  # shingle words -> sorted distinct hashes
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # -> sorted hash, first and last entry, entries (window, offset)
 
@@ -56,7 +57,7 @@ def _filter(hashes: np.ndarray) -> np.ndarray:
     return bits
 
 
-def build_block(items: list[tuple[int, str]], size: int, shingle: int) -> Block:
+def build_block(items: list[tuple[str | None, str]], size: int, shingle: int) -> Block:
     items = [(i, t) for i, t in items if t]
     data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
     data = lower(data)
@@ -82,7 +83,7 @@ def build_block(items: list[tuple[int, str]], size: int, shingle: int) -> Block:
                 owners.append(set())
             if item is not None:
                 owners[seen[key]].add(item)
-    block = Block(list(number), np.array(starts, np.int64), np.array(sizes, np.int64), seq, h, [np.array(sorted(o), np.int64) for o in owners])
+    block = Block(list(number), np.array(starts, np.int64), np.array(sizes, np.int64), seq, h, [tuple(sorted(o)) for o in owners])
     for width in sorted({min(shingle, w) for w in sizes}):
         mine = np.flatnonzero(np.minimum(block.sizes, shingle) == width)
         runs = run_hashes(h, width)
@@ -150,6 +151,7 @@ def count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[int, np
     counts = {w: np.zeros(len(k), np.int64) for w, k in block.shingles.items()}
     for r in docs.select(F.col(text_col)).mapInArrow(scan, "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n")).collect():
         counts[r["w"]][r["k"]] = r["n"]
+    held.destroy()
     return counts
 
 
@@ -185,56 +187,33 @@ def find_windows(block: Block, bits: dict[int, np.ndarray], data: np.ndarray, of
 
 
 
-def _scanner(held, last: bool, name: str, text_col: str) -> Callable:  # noqa: ANN001
-    """Rows (id, text, hits so far, items so far) with this block's hits and items added; the last gives the result."""
+def _scanner(held: Broadcast, name: str, text_col: str) -> Callable:
+    """Rows of `texts` to the first column, n_words, the places of hit words, and the items with occurring windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
         bits = {w: _filter(p[0]) for w, p in block.prefix.items()}
         for batch in batches:
             data, offsets = text_bytes(text_of(batch, text_col))
-            old_hits, old_items = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            fresh = not batch.num_rows or (old_hits.null_count == batch.num_rows)
-            hits_out, items_out, n_words, n_hit = [], [], [], []
             for i, j in steps(offsets):
                 a, win, bound, row = find_windows(block, bits, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cover = np.zeros(len(row) + 1, np.int32)
                 np.add.at(cover, a, 1)
                 np.add.at(cover, a + block.sizes[win], -1)
-                hit = np.cumsum(cover[:-1]) > 0
-                if not fresh:
-                    for r in range(i, j):
-                        if old_hits[r].is_valid and len(old_hits[r]):
-                            hit[np.array(old_hits[r].as_py(), np.int64) + bound[r - i]] = True
-                items: dict[int, set[int]] = {}
+                hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+                items: dict[int, set[str]] = {}
                 for r, w in set(zip(row[a].tolist(), win.tolist(), strict=True)):
-                    items.setdefault(r, set()).update(block.owners[w].tolist())
-                if not fresh:
-                    for r in range(i, j):
-                        if old_items[r].is_valid and len(old_items[r]):
-                            items.setdefault(r - i, set()).update(old_items[r].as_py())
-                items_out += [sorted(items.get(r, ())) for r in range(j - i)]
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words.append(np.diff(bound))
-                n_hit.append(total[bound[1:]] - total[bound[:-1]])
-                if not last:
-                    hits_out += [(np.flatnonzero(hit[b:c])).astype(np.int32).tolist() for b, c in zip(bound[:-1], bound[1:], strict=True)]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits_out, pa.list_(pa.int32())), pa.array(items_out, pa.list_(pa.int64()))], names=batch.schema.names)
-                continue
-            n, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n_words, n_hit))
-            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items_out]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([len(x) for x in items_out], pa.int64()), pa.array(digest, pa.string()), pa.array((k > 0) & (20 * k >= n), pa.bool_()), pa.array(items_out, pa.list_(pa.int64()))],
-                names=[name, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
+                    items.setdefault(r, set()).update(block.owners[w])
+                hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit, bound), pa.int32()), pa.array((hit - bound[row[hit]]).astype(np.int32)))
+                found = pa.array([sorted(items.get(r, ())) for r in range(j - i)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bound), pa.int64()), hits, found], names=[name, "n_words", "hits", "items"])
 
     return scan
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_bytes, each small enough for the driver and a broadcast."""
-    items = benchmark.select("item_id", "text").where("length(text) > 0").distinct()
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks of about block_bytes, each small enough for the driver and a broadcast; the last has nothing left out."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("length(text) > 0").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
     for k in range(n):
@@ -242,22 +221,55 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, s
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id (or `carry` as row), n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids)."""
-    sc, none = docs.sparkSession.sparkContext, F.lit(None)
-    state, name = texts(docs, id_col, text_col, carry, none.cast("array<int>").alias("_hits"), none.cast("array<long>").alias("_items"))
-    first, kind = state.schema, state.schema[name].dataType
-    todo = [sc.broadcast(block) for block in blocks_indexed(docs, benchmark, size, shingle, block_bytes, text_col)]
-    for k, held in enumerate(todo):
-        last = k == len(todo) - 1
-        out = schema_of(name, kind, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>") if last else first
-        state = state.mapInArrow(_scanner(held, last, name, text_col), out)
-    return state
-
-
-def blocks_indexed(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, block_bytes: int, text_col: str) -> Iterator[Block]:
+def indexed(docs: DataFrame, benchmark: DataFrame, size: int, shingle: int, block_bytes: int, text_col: str) -> Iterator[Block]:
     for items in blocks(benchmark, block_bytes):
         block = build_block(items, size, shingle)
         if block.shingles:
             choose_prefixes(block, count_shingles(docs, text_col, block), shingle)
         yield block
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id (or `carry` as row), n_words, n_hit, n_items, items_sha256, contaminated, items (sorted item_ids)."""
+    sc = docs.sparkSession.sparkContext
+    state, name = texts(docs, id_col, text_col, carry)
+    rest = "n_words long, hits array<int>, items array<string>"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+    todo = indexed(docs, benchmark, size, shingle, block_bytes, text_col)
+    block, following = next(todo), next(todo, None)
+    if following is None:
+        return _judged(state.mapInArrow(_scanner(sc.broadcast(block), name, text_col), schema_of(name, state.schema[name].dataType, rest)), name)
+    slim = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    schema, found = schema_of("doc_id", slim.schema["doc_id"].dataType, rest), None
+    while block is not None:
+        held = sc.broadcast(block)
+        hits = slim.mapInArrow(_scanner(held, "doc_id", text_col), schema).where("size(hits) > 0").groupBy("doc_id").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
+        hits = materialize(hits)
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+        block, following = following, next(todo, None)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy("doc_id").agg(every("hits"), every("items")).withColumnRenamed("doc_id", "key")
+    words = texts(docs, id_col, text_col, carry, key.alias("key"))[0]
+    counted = words.mapInArrow(_counter(name, text_col), schema_of(name, state.schema[name].dataType, "n_words long, key struct<a:long,b:long>"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return _judged(counted.join(found, "key", "left").select(name, "n_words", empty("hits", "int"), empty("items", "string")), name)
+
+
+def _counter(name: str, text_col: str) -> Callable:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(text_of(batch, text_col))
+            n = [np.zeros(0, np.int64)]
+            for i, j in steps(offsets):
+                n.append(np.diff(_tokenise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[4]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), batch.column(batch.num_columns - 1)], names=[name, "n_words", "key"])
+
+    return scan
+
+
+def _judged(found: DataFrame, name: str) -> DataFrame:
+    hit = F.size("hits").cast("long")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(name, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), "items")

@@ -31,8 +31,8 @@ def leaks(docs, items, size=13):
     for i, t in items:
         w = WORD.findall(lower(t))
         n = min(size, len(w))
-        for k in range(len(w) - n + 1 if n and i is not None else 0):
-            windows[tuple(w[k : k + n])].add(i)
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].update(() if i is None else (i,))
     out = []
     for d, t in docs:
         w, hit, ids = WORD.findall(lower(t)), set(), set()
