@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,17 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one of our own, but only without a cluster."""
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="factorloom-")
+        atexit.register(shutil.rmtree, where, True)
     spark.sparkContext.setCheckpointDir(where)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _stored(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, and the path in its terms."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct, so that an operator can carry any of them without a clash of names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -42,15 +54,11 @@ def schema_of(first: str, kind: DataType, rest: str) -> StructType:
     return StructType([StructField(first, kind), *StructType.fromDDL(rest).fields])
 
 
-#: Rows of documents in one Arrow batch, unless the session says otherwise: the usual 10,000 would hold tens of MB of text.
-BATCH_ROWS = 1000
-
-
 def texts(docs: DataFrame, id_col: str, text_col: str, carry: Column | None, *more: Column) -> tuple[DataFrame, str]:
-    """What an operator reads: the id as doc_id and the text, or only `carry` as row, which holds the text; and the name of the first."""
-    conf = docs.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """What an operator reads: the id as doc_id and the text, or only `carry` as row, which holds the text; and the name of the first.
+
+    Spark bounds Arrow batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB), and operators work on them in steps.
+    """
     if carry is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more), "doc_id"
     return docs.select(carry.alias("row"), *more), "row"
@@ -77,12 +85,22 @@ def merged(batches: Iterator[pa.RecordBatch], limit: int, at: int = 1) -> Iterat
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The files outlive a lost executor, so nothing upstream is computed again.
+    The files outlive a lost executor, so nothing upstream is computed again. They go with the driver, or by `drop`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _stored(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing reads any more."""
+    files, at = _stored(df.sparkSession, df.stored_at)
+    files.delete(at, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

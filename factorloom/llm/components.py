@@ -1,7 +1,7 @@
 """Connected components over a table of links, by alternating large-star and small-star steps.
 
 Each step is one aggregate and one join on the node; what is left after a round is written to the shared
-folder, so a lost executor repeats one round at most. No link, node or label reaches the driver.
+folder, so a lost executor repeats one round at most; the round before is deleted. No link, node or label reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = state(edges)
     while before[0]:
-        edges = materialize(_star(_star(edges, True), False))
+        old, edges = edges, materialize(_star(_star(edges, True), False))
+        drop(old)
         now = state(edges)
         if now == before:
             break

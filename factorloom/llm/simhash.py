@@ -48,11 +48,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts, ends = (ends - sizes)[: len(words) - shingle + 1], ends[shingle - 1 :]
     ones = np.zeros(64, np.int64)
     for k in range(0, len(starts), _HASH_STEP):
-        raw = b"".join([one(joined[a:b], SEED) for a, b in zip(starts[k : k + _HASH_STEP].tolist(), ends[k : k + _HASH_STEP].tolist(), strict=True)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _ones(b"".join([one(joined[a:b], SEED) for a, b in zip(starts[k : k + _HASH_STEP].tolist(), ends[k : k + _HASH_STEP].tolist(), strict=True)]))
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
+def _ones(raw: bytes) -> np.ndarray:
+    """In how many of the 8-byte big-endian hashes each bit is set."""
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def bits(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes that are there already; zero if there is none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _HASH_STEP):
+        ones += _ones(hashes[k : k + _HASH_STEP].astype(">u8").tobytes())
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (or `carry` as row) and fp: the fingerprint as a signed long."""
     slim, name = texts(docs, id_col, text_col, carry)

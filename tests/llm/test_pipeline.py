@@ -1,11 +1,11 @@
 """The corpus pipeline: every stage against brute force on its own input."""
 
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
-from .test_operators import groups_of, leaks, print_of, repeats
+from .test_operators import leaks
+from .test_pipeline_copies import kept as stay
+from .test_pipeline_passages import cut
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -18,23 +18,15 @@ def test_stages(spark, sf_dir, documents):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
     one = stages["simhash"](spark, kept, sf_dir).persist()
-    rows = kept.collect()
-    ids = [r.doc_id for r in rows]
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(groups_of(ids, [print_of(r.text) for r in rows])))
+    assert sorted(r.doc_id for r in one.collect()) == stay([(r.doc_id, r.text) for r in kept.collect()])
 
-    cut = stages["suffix"](spark, one, sf_dir).persist()
-    before, after = {r.doc_id: r for r in one.collect()}, {r.doc_id: r for r in cut.collect()}
+    out = stages["suffix"](spark, one, sf_dir).persist()
+    before, after = {r.doc_id: r for r in one.collect()}, {r.doc_id: r for r in out.collect()}
     order = sorted(before)
-    for d, (_, removed, _, digest) in zip(order, repeats([before[d].text.encode() for d in order], 400), strict=True):
-        assert after[d].n_chars == len(after[d].text)
-        if not removed:
-            assert after[d].text == before[d].text
-        else:
-            assert len(before[d].text.encode()) - len(after[d].text.encode()) >= removed
-            if "�" not in after[d].text and len(before[d].text.encode()) - len(after[d].text.encode()) == removed:
-                assert hashlib.sha256(after[d].text.encode()).hexdigest() == digest
-
-    clean = stages["decontam"](spark, cut, sf_dir).persist()
+    for d, want in zip(order, cut([before[d].text.encode() for d in order]), strict=True):
+        assert after[d].text.encode() == want and after[d].n_chars == len(after[d].text)
+
+    clean = stages["decontam"](spark, out, sf_dir).persist()
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {x[0] for x in leaks([(d, after[d].text) for d in order], bench) if x[-1]}
     assert {r.doc_id for r in clean.collect()} == set(order) - bad
