@@ -59,8 +59,9 @@ FROM numbered JOIN walk USING (row) WHERE walk.x < walk.n
 """
 ORACLES["op3_sharding"] = OP3
 
-OP8 = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+OP8 = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT rid, doc_id, hex(encode(text)) AS hx FROM t),
 windows AS (SELECT rid, i, hash(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT rid, hx, unnest(range(0, len(hx) // 2 - 399)) AS i FROM d WHERE len(hx) >= 800)),
 twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
 starts AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM windows JOIN twice USING (h)),
@@ -70,8 +71,18 @@ gaps AS (
   SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS z FROM spans
   UNION ALL SELECT rid, max(z), 1000000000 FROM spans GROUP BY rid),
 kept AS (SELECT rid, string_agg(substr(hx, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS hx FROM gaps JOIN d USING (rid) GROUP BY rid),
-sums AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
-SELECT d.doc_id, CAST(len(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
-FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept k USING (rid)
+sums AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid),
+words AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS blank_w FROM t),
+places AS (
+  SELECT rid, i, sum(octet_length(encode(b))) OVER (PARTITION BY rid ORDER BY i) AS z, octet_length(encode(w)) AS n
+  FROM (SELECT rid, unnest(w) AS w, unnest(blank_w) AS b, unnest(range(1, len(w) + 1)) AS i FROM words)),
+runs AS (SELECT rid, i, hash(array_to_string(w[i : i + 50], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 49)) AS i FROM words WHERE len(w) > 50)),
+again AS (SELECT h FROM runs GROUP BY h HAVING count(*) > 1),
+firsts AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM runs JOIN again USING (h)),
+islands AS (SELECT rid, min(i) AS a, max(i) + 50 AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS s FROM firsts) GROUP BY rid, s),
+passages AS (SELECT x.rid, sum(q.z - (p.z - p.n)) AS n_passage_bytes FROM islands x JOIN places p ON p.rid = x.rid AND p.i = x.a JOIN places q ON q.rid = x.rid AND q.i = x.z GROUP BY x.rid)
+SELECT d.doc_id, CAST(len(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256,
+  CAST(coalesce(n_passage_bytes, 0) AS BIGINT) AS n_passage_bytes
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept k USING (rid) LEFT JOIN passages USING (rid)
 """
 ORACLES["op8_suffix_dedup"] = OP8

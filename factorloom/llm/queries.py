@@ -40,7 +40,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.digests(table(spark, sf_dir, "documents")).drop("spans")
+    return suffixdedup.digests(table(spark, sf_dir, "documents"), words=(suffixdedup.WORDS, suffixdedup.WORD_GRAM)).drop("spans")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

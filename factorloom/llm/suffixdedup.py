@@ -4,11 +4,11 @@
    Equal windows have equal grams at equal offsets, so they meet under one gram hash. Only hashes that occur twice
    go on. An anchor whose context has one form under its hash is repeated as a whole.
 2. Other contexts are reduced to one copy of each form with its number of copies, their bytes are fetched once, and
-   they are dealt into shards by gram hash. Each shard is sorted by external induced sorting (xsort.py); a window
-   is repeated if its form has two copies or if a neighbour in the suffix array shares span bytes.
-3. A hash with more than HOT_BYTES of different forms would be too much for one task. Its windows are compared
-   in the open instead: a row for each window's 128-bit hash, counted with partial aggregation. This exact way has
-   no limit and needs no task to hold a group.
+   they are dealt into shards by gram hash. Each shard is sorted by external induced sorting (xsort.py), whose queues and
+   arrays hold SORT_MEMORY in memory, a part of a shard, and the rest on disk; a window is repeated if its form has two
+   copies or if a neighbour in the suffix array shares span bytes.
+3. No task may hold a group without a bound, so a hash with more than HOT_BYTES of different forms is split: its windows are
+   dealt out one by one, by 128 bits of their content, and counted with partial aggregation.
 4. Repeated windows return to their documents as spans.
 
 With `words` the same runs a second time over words (runs of non-blank bytes, by 64-bit hash), so that passages of that
@@ -16,8 +16,11 @@ many whole words go as well, however short in bytes and whatever blanks stand be
 
 Strings are judged on the input; a first occurrence is removed like any other; matches never cross documents.
 
-Defined results: a null text is empty; texts shorter than span keep all; repeated rows repeat each other; null ids
-take part; an empty table gives no rows; further columns are carried along.
+Equal contexts are told by 128 bits (gram hash and context hash), equal windows of a shard by their bytes.
+
+Defined results: a null text is empty; texts shorter than span keep all; very long texts are read in pieces that overlap;
+repeated rows repeat each other; ties can't arise; null ids take part; an empty table gives no rows; further columns, of
+whatever name, are carried along.
 """
 
 from __future__ import annotations
@@ -41,8 +44,10 @@ SPAN, GRAM = 400, 100
 WORDS, WORD_GRAM = 51, 13
 _NONBLANK = np.ones(256, bool)
 _NONBLANK[[9, 10, 11, 12, 13, 32]] = False
-#: Bytes of contexts in a shard, about; and under one hash at most.
-SHARD_BYTES, HOT_BYTES = 5 << 19, 2 << 20
+#: Bytes of contexts in a shard, about; and under one hash, before its windows are dealt out one by one.
+SHARD_BYTES, HOT_BYTES = 8 << 20, 8 << 20
+#: Bytes that the queues and each array of a sort may hold in memory; a shard is several times that, so they go to disk.
+SORT_MEMORY = 2 << 20
 _KEY = "k long, size int"
 
 
@@ -115,10 +120,15 @@ def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Tabl
         h, c, n, times = h[one], c[one], n[one], times[one]
         if words:  # numbered as they occur in the shard
             data, offsets = np.unique(data.view(np.uint64), return_inverse=True)[1], offsets // 8
+        else:
+            there = np.bincount(data, minlength=256) > 0
+            data = (np.cumsum(there) - 1).astype(np.int16)[data]  # bytes that occur, in their order, so that one byte holds a symbol
         base = offsets[:-1] + np.arange(len(one))
-        kind = np.uint32 if words else np.uint16
+        top = int(data.max(initial=0)) + 2
+        kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
         text = np.ones(int(offsets[-1]) + len(one), kind)  # 1 ends a context, bytes or words follow from 2
-        text[np.arange(len(data)) + np.repeat(np.arange(len(one)), np.diff(offsets))] = data.astype(kind) + 2
+        for k, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            text[a + k : z + k] = data[a:z] + 2
         hit = xsort.repeated(text, span, memory)
         spans = []
         for b, m, k in zip(base.tolist(), n.tolist(), times.tolist(), strict=True):
@@ -167,7 +177,7 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
     bytes_ = materialize(_fetch(forms, docs, text_col, span, words))
     out = "h long, c long, spans array<int>"
     cool = bytes_.join(hot, "h", "left_anti") if any_hot else bytes_
-    found = cool.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(sort_shard(span, xsort_memory(shard_bytes), words), out)
+    found = cool.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(sort_shard(span, SORT_MEMORY, words), out)
     if any_hot:
         every_window = materialize(_windows(bytes_.join(hot, "h", "left_semi").dropDuplicates(["h", "c"]), span, words))
         twice = every_window.groupBy("w", "x").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
@@ -181,13 +191,8 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
     return rows.groupBy("k", "size").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def xsort_memory(shard_bytes: int) -> int:
-    """Memory of one sort: a few times the usual shard, so that only larger ones go to disk."""
-    return max(48 << 20, 8 * shard_bytes)
-
-
 def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", words: tuple[int, int] | None = None) -> DataFrame:
-    """Every row of docs through finish(array of row structs, list of merged (first, after the last) arrays), which gives rows of `out`. words: span and gram in words, to remove such passages too."""
+    """Every row of docs through finish(array of row structs, merged (first, after the last) arrays of each row, the same of passages of words), which gives rows of `out`. words: span and gram in words, to find such passages too."""
     docs = keyed(docs, id_col, text_col)
     spans = find_repeats(docs, text_col, span, gram, shard_bytes, hot_bytes)
     none = F.lit(None).cast("array<int>")
@@ -199,17 +204,17 @@ def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(1)]
+            flat = lambda x: np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else np.zeros(0, np.int64)
+            passages = [np.zeros((0, 2), np.int64)] * batch.num_rows
             if words:
                 texts_ = batch.column(0).field(text_col)
                 for r, x in enumerate(batch.column(2)):
                     if x.is_valid:
                         data, offsets = text_bytes(texts_.slice(r, 1))
                         starts, ends = word_bounds(data, offsets, _NONBLANK)
-                        w = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).reshape(-1, 2)
-                        found[r] = np.concatenate([found[r], np.stack([starts[w[:, 0]], ends[w[:, 1] - 1]], axis=1).ravel()])
-            merged = [merge(x) for x in found]
-            yield finish(batch.column(0), merged)
+                        w = flat(x).reshape(-1, 2)
+                        passages[r] = merge(np.stack([starts[w[:, 0]], ends[w[:, 1] - 1]], axis=1))
+            yield finish(batch.column(0), [merge(flat(x)) for x in batch.column(1)], passages)
 
     return joined.mapInArrow(scan, out)
 
@@ -227,9 +232,9 @@ def merge(flat: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat)."""
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat), and n_passage_bytes: how many bytes lie in repeated passages of so many words, if these are asked for."""
 
-    def finish(rows: pa.StructArray, spans: list[np.ndarray]) -> pa.RecordBatch:
+    def finish(rows: pa.StructArray, spans: list[np.ndarray], passages: list[np.ndarray]) -> pa.RecordBatch:
         data, offsets = text_bytes(rows.field("text"))
         raw = data.tobytes()
         kept = []
@@ -241,19 +246,20 @@ def digests(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
                 at = a + z
             digest.update(raw[at : int(offsets[r + 1])])
             kept.append(digest.hexdigest())
-        removed = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-        return pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.string()), pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        removed, covered = ([int((s[:, 1] - s[:, 0]).sum()) for s in x] for x in (spans, passages))
+        return pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.string()), pa.array([s.ravel().tolist() for s in spans], pa.list_(pa.int64())), pa.array(covered, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_passage_bytes"])
 
-    out = schema_of("doc_id", docs.schema["doc_id"].dataType, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    out = schema_of("doc_id", docs.schema["doc_id"].dataType, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, n_passage_bytes long")
     return dedup(docs.select("doc_id", "text"), finish, out, **options)
 
 
 def remove(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with the repeated bytes cut out of the text; a cut inside a character keeps that character out as well."""
 
-    def finish(rows: pa.StructArray, spans: list[np.ndarray]) -> pa.RecordBatch:
+    def finish(rows: pa.StructArray, spans: list[np.ndarray], passages: list[np.ndarray]) -> pa.RecordBatch:
         out = []
-        for text, s in zip(rows.field(text_col), spans, strict=True):
+        for text, s, p in zip(rows.field(text_col), spans, passages, strict=True):
+            s = merge(np.concatenate([s, p])) if len(p) else s
             if not len(s):
                 out.append(text.as_py())
                 continue

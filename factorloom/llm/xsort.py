@@ -19,7 +19,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-WINDOW = 1 << 16
+WINDOW, BLOCK = 1 << 16, 1 << 18
+#: Of sorted suffixes in text order, each so-many-th is compared first.
+SKIPS = (64, 8, 1)
 #: Memory a symbol needs where the recursion ends in a sort in memory.
 BASE_BYTES = 24
 _BIG = np.int32(1 << 30)
@@ -86,13 +88,21 @@ class Queue:
 
 def types(text: np.ndarray) -> np.ndarray:
     """True for S: the suffix is smaller than the next one. The last symbol is the only smallest one."""
-    n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.where(text[:-1] < text[1:], 1, np.where(text[:-1] > text[1:], -1, 0))
-    step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return step[at] > 0
+    n, out, last = len(text), np.ones(len(text), bool), True
+    for z in range(n - 1, 0, -BLOCK):  # from the end, in blocks
+        a = max(0, z - BLOCK)
+        x, y = np.asarray(text[a:z]), np.asarray(text[a + 1 : z + 1])
+        known, at = x != y, np.arange(z - a, dtype=np.int32)
+        at = np.minimum.accumulate(np.where(known, at, z - a)[::-1])[::-1]  # the next place that decides
+        out[a:z] = np.append(x < y, last)[at]
+        last = out[a]
+    return out
+
+
+def but_last(s: np.ndarray) -> np.ndarray:
+    out = s.copy()
+    out[-1] = False
+    return out
 
 
 def name(text: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -135,25 +145,21 @@ def name(text: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray,
     return out, len(names) == len(lms)
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to limit."""
-    n, out = len(text), np.zeros(len(a), np.int32)
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, least: np.ndarray | None = None) -> np.ndarray:
+    """Common prefixes of pairs of suffixes, up to limit; least: lengths that are known to be equal."""
+    n, out = len(text), np.zeros(len(a), np.int32) if least is None else least.astype(np.int32)
     per = 8 // text.itemsize  # symbols that one 64-bit word holds
-    live, k = np.arange(len(a)), 0
+    live = np.arange(len(a))
     if per > 1 and n >= per:
         words = np.lib.stride_tricks.as_strided(text.view(np.uint8)[:8].view(np.uint64), shape=(n - per + 1,), strides=(text.itemsize,))
-        ends = np.maximum(a, b)
+        x, y, top = a + out, b + out, np.maximum(a, b) + out
         done = [live[:0]]
-        while len(live) and k < limit:
-            fits = ends[live] + k + per <= n
-            done.append(live[~fits])
-            live = live[fits]
-            differ = words[a[live] + k] != words[b[live] + k]
-            done.append(live[differ])
-            live = live[~differ]
+        while len(live):
+            on = (top <= n - per) & (out[live] < limit)
+            on[on] = words[x[on]] == words[y[on]]
+            done.append(live[~on])
+            live, x, y, top = live[on], x[on] + per, y[on] + per, top[on] + per
             out[live] += per
-            k += per
-        out[live] = limit
         live = np.concatenate(done)
     while len(live):  # symbol by symbol inside the last word
         x, y = a[live] + out[live], b[live] + out[live]
@@ -164,6 +170,38 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nda
     return np.minimum(out, limit)
 
 
+def neighbours(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+    """The common prefix of each leftmost-S suffix of the sorted `order` and the one before it, up to limit.
+
+    If a suffix shares so many symbols with its neighbour that the leftmost-S place after the next one lies among them,
+    the suffix d symbols later shares all but d with one that stands before it. So every SKIPS[0]-th is compared
+    from its start, and the others from where the one before them leads.
+    """
+    m = len(order)
+    by_place = np.argsort(order, kind="stable")
+    place = order[by_place]
+    before = np.where(by_place > 0, order[np.maximum(by_place - 1, 0)], -1)
+    after = np.append(place[1:], len(text))
+    shared = np.zeros(m, np.int32)
+    for k, skip in enumerate(SKIPS):
+        t = np.arange(0, m, skip)
+        if k:
+            t = t[t % SKIPS[k - 1] != 0]
+        t = t[before[t] >= 0]
+        if not len(t):
+            continue
+        least = None
+        if k:
+            lead = t - t % SKIPS[k - 1]
+            least = np.where(shared[lead] > after[t] - place[lead], shared[lead] - (place[t] - place[lead]), 0)
+        for a in range(0, len(t), WINDOW):
+            some = t[a : a + WINDOW]
+            shared[some] = common(text, before[some], place[some], limit, None if least is None else least[a : a + WINDOW])
+    out = np.empty(m, np.int32)
+    out[by_place] = shared
+    return out
+
+
 class _Least:
     """Range minima of one window."""
 
@@ -360,7 +398,7 @@ def suffix_order(text: np.ndarray, space: Space) -> np.ndarray:
         return doubling(text)
     s, seeds, _ = lms_order(text, space)
     small, _ = induce(text, ~s, False, seeds, None, space, 0)
-    large, _ = induce(text, s & (np.arange(len(text)) < len(text) - 1), True, np.asarray(small)[::-1], None, space, 0)
+    large, _ = induce(text, but_last(s), True, np.asarray(small)[::-1], None, space, 0)
     large = np.append(np.asarray(large), len(text) - 1)[::-1]
     top = int(text.max()) + 1
     at_l = np.bincount(text[small], minlength=top)
@@ -384,12 +422,11 @@ def repeated(text: np.ndarray, span: int, memory: int = 64 << 20) -> np.ndarray:
         full[:-1] = text
         full[-1] = 0
         s, seeds, _ = lms_order(full, space)
-        seed_lcp = np.zeros(len(seeds), np.int32)
-        seed_lcp[1:] = common(full, seeds[:-1], seeds[1:], span)
+        seed_lcp = neighbours(full, seeds, span)
         small, small_lcp = induce(full, ~s, False, seeds, seed_lcp, space, span)
         falling = np.zeros(len(small), np.int32)
         falling[1:] = np.asarray(small_lcp)[::-1][:-1]
-        large, large_lcp = induce(full, s & (np.arange(len(full)) < len(full) - 1), True, np.asarray(small)[::-1], falling, space, span)
+        large, large_lcp = induce(full, but_last(s), True, np.asarray(small)[::-1], falling, space, span)
         for suffix, lcp in ((small, small_lcp), (large, large_lcp)):
             hit = np.flatnonzero(lcp >= span)
             out[suffix[hit]] = out[suffix[hit - 1]] = True
