@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import inspect
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +85,29 @@ def merged(batches: Iterator[pa.RecordBatch], limit: int, at: int = 1) -> Iterat
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def tidy(f: Callable) -> Callable:
+    """f over the batches of a task, or one group; the worker then gives freed memory back to the system, as it may stay idle beside others."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def run(x):  # noqa: ANN001, ANN202
+        try:
+            yield from f(x)
+        finally:
+            release()
+
+    def once(x):  # noqa: ANN001, ANN202
+        try:
+            return f(x)
+        finally:
+            release()
+
+    return run if inspect.isgeneratorfunction(f) else once
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 

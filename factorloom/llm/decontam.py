@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, schema_of, steps, text_bytes, text_of, texts
+from .common import materialize, schema_of, steps, text_bytes, text_of, texts, tidy
 from .words import lower, run_hashes, word_bounds, word_hashes
 
 WINDOW, SHINGLE = 13, 5
@@ -149,7 +149,7 @@ def count_shingles(docs: DataFrame, text_col: str, block: Block) -> dict[int, np
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w, np.int32)), pa.array(at.astype(np.int64)), pa.array(n[at])], names=["w", "k", "n"])
 
     counts = {w: np.zeros(len(k), np.int64) for w, k in block.shingles.items()}
-    for r in docs.select(F.col(text_col)).mapInArrow(scan, "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col(text_col)).mapInArrow(tidy(scan), "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n")).collect():
         counts[r["w"]][r["k"]] = r["n"]
     held.destroy()
     return counts
@@ -239,12 +239,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     todo = indexed(docs, benchmark, size, shingle, block_bytes, text_col)
     block, following = next(todo), next(todo, None)
     if following is None:
-        return _judged(state.mapInArrow(_scanner(sc.broadcast(block), name, text_col), schema_of(name, state.schema[name].dataType, rest)), name)
+        return _judged(state.mapInArrow(tidy(_scanner(sc.broadcast(block), name, text_col)), schema_of(name, state.schema[name].dataType, rest)), name)
     slim = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
     schema, found = schema_of("doc_id", slim.schema["doc_id"].dataType, rest), None
     while block is not None:
         held = sc.broadcast(block)
-        hits = slim.mapInArrow(_scanner(held, "doc_id", text_col), schema).where("size(hits) > 0").groupBy("doc_id").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
+        hits = slim.mapInArrow(tidy(_scanner(held, "doc_id", text_col)), schema).where("size(hits) > 0").groupBy("doc_id").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
         hits = materialize(hits)
         held.destroy()
         found = hits if found is None else found.unionByName(hits)
@@ -252,7 +252,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     found = found.groupBy("doc_id").agg(every("hits"), every("items")).withColumnRenamed("doc_id", "key")
     words = texts(docs, id_col, text_col, carry, key.alias("key"))[0]
-    counted = words.mapInArrow(_counter(name, text_col), schema_of(name, state.schema[name].dataType, "n_words long, key struct<a:long,b:long>"))
+    counted = words.mapInArrow(tidy(_counter(name, text_col)), schema_of(name, state.schema[name].dataType, "n_words long, key struct<a:long,b:long>"))
     empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     return _judged(counted.join(found, "key", "left").select(name, "n_words", empty("hits", "int"), empty("items", "string")), name)
 

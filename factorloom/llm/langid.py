@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts
+from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts, tidy
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
@@ -176,7 +176,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
             idx = [np.flatnonzero(h) for h in hist]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.astype(np.int16) for i in idx], pa.list_(pa.int16())), pa.array([h[i].astype(np.int32) for h, i in zip(hist, idx, strict=True)], pa.list_(pa.int32()))], names=["lang", "b", "n"])
 
-    got = sample.select("text", "lang").mapInArrow(count, "lang string, b array<short>, n array<int>").toPandas()
+    got = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, b array<short>, n array<int>").toPandas()
     order = np.argsort([hash_key(b, n) for b, n in zip(got["b"], got["n"], strict=True)], kind="stable") if len(got) else []
     rows = [(np.asarray(got["b"][i], np.int32), np.asarray(got["n"][i], np.float32)) for i in order]
     return fit(rows, [got["lang"][i] for i in order])
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None, carry: Column | None = None, i
                 ok = letters & (score >= model.threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[name, "lang_pred", "score", "accepted"])
 
-    return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "lang_pred string, score double, accepted boolean"))
+    return slim.mapInArrow(tidy(scan), schema_of(name, slim.schema[name].dataType, "lang_pred string, score double, accepted boolean"))
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vptree
-from .common import materialize, schema_of, text_of, texts, whole_row
+from .common import materialize, schema_of, text_of, texts, tidy, whole_row
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: Column | None =
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in text_of(batch, text_col)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[name, "fp"])
 
-    return slim.mapInArrow(scan, schema_of(name, slim.schema[name].dataType, "fp long"))
+    return slim.mapInArrow(tidy(scan), schema_of(name, slim.schema[name].dataType, "fp long"))
 
 
 def local_links(points: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 
 from . import xsort
 from .anchors import anchors
-from .common import materialize, schema_of, text_bytes, texts, whole_row
+from .common import drop, materialize, schema_of, text_bytes, texts, tidy, whole_row
 from .words import _BASE, _INVERSE, _TABLE, mix, powers, word_bounds, word_hashes
 
 SPAN, GRAM = 400, 100
@@ -45,9 +45,9 @@ WORDS, WORD_GRAM = 51, 13
 _NONBLANK = np.ones(256, bool)
 _NONBLANK[[9, 10, 11, 12, 13, 32]] = False
 #: Bytes of contexts in a shard, about; and under one hash, before its windows are dealt out one by one.
-SHARD_BYTES, HOT_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, HOT_BYTES = 4 << 20, 4 << 20
 #: Bytes that the queues and each array of a sort may hold in memory; a shard is several times that, so they go to disk.
-SORT_MEMORY = 2 << 20
+SORT_MEMORY = 1 << 20
 _KEY = "k long, size int"
 
 
@@ -76,7 +76,7 @@ def find_anchors(docs: DataFrame, text_col: str, span: int, gram: int, words: bo
             for row, p, n, h, c in anchors(data, offsets, gram, span):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(k[row]), pa.array(size[row]), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "c", "k", "size", "p", "n"])
 
-    return docs.where(F.col("size") >= span).select("k", "size", f"row.`{text_col}`").mapInArrow(scan, f"h long, c long, {_KEY}, p int, n int")
+    return docs.where(F.col("size") >= span).select("k", "size", f"row.`{text_col}`").mapInArrow(tidy(scan), f"h long, c long, {_KEY}, p int, n int")
 
 
 def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def _fetch(forms: DataFrame, docs: DataFrame, text_col: str, span: int, words: b
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "c", "times", "n", "bytes"])
 
-    return joined.mapInArrow(cut, "h long, c long, times long, n int, bytes binary")
+    return joined.mapInArrow(tidy(cut), "h long, c long, times long, n int, bytes binary")
 
 
 def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Table], pa.Table]:
@@ -129,6 +129,7 @@ def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Tabl
         text = np.ones(int(offsets[-1]) + len(one), kind)  # 1 ends a context, bytes or words follow from 2
         for k, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             text[a + k : z + k] = data[a:z] + 2
+        del data, t
         hit = xsort.repeated(text, span, memory)
         spans = []
         for b, m, k in zip(base.tolist(), n.tolist(), times.tolist(), strict=True):
@@ -139,7 +140,7 @@ def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Tabl
                 spans.append(np.stack([a, z], axis=1).ravel().tolist())
         return pa.table({"h": h, "c": c, "spans": pa.array(spans, pa.list_(pa.int32()))})
 
-    return run
+    return tidy(run)
 
 
 def _windows(hot: DataFrame, span: int, words: bool = False) -> DataFrame:
@@ -158,7 +159,7 @@ def _windows(hot: DataFrame, span: int, words: bool = False) -> DataFrame:
                 m = len(both[0])
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(m, h[r])), pa.array(np.full(m, c[r])), pa.array(np.arange(m, dtype=np.int32))], names=["w", "x", "h", "c", "i"])
 
-    return hot.select("h", "c", "n", "bytes").mapInArrow(scan, "w long, x long, h long, c long, i int")
+    return hot.select("h", "c", "n", "bytes").mapInArrow(tidy(scan), "w long, x long, h long, c long, i int")
 
 
 def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_bytes: int, hot_bytes: int, words: bool = False) -> DataFrame:
@@ -167,7 +168,8 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
     every = materialize(find_anchors(docs, text_col, span, gram, words))
     again = every.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).where("_n > 1").drop("_n")
     again = materialize(again)  # a join of two plain scans can be split where a hash is common
-    every = materialize(every.join(again, "h"))
+    once, every = every, materialize(every.join(again, "h"))
+    drop(once)
     mixed = every.where("mixed")
     forms = materialize(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "size", "p", "n")).alias("one")).select("h", "c", "times", "one.*"))
     hot = materialize(forms.groupBy("h").agg(F.sum((F.col("n") + span - 1).cast("long") * width).alias("b")).where(F.col("b") > hot_bytes).select("h"))
@@ -216,7 +218,7 @@ def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN,
                         passages[r] = merge(np.stack([starts[w[:, 0]], ends[w[:, 1] - 1]], axis=1))
             yield finish(batch.column(0), [merge(flat(x)) for x in batch.column(1)], passages)
 
-    return joined.mapInArrow(scan, out)
+    return joined.mapInArrow(tidy(scan), out)
 
 
 def merge(flat: np.ndarray) -> np.ndarray:

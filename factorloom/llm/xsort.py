@@ -126,7 +126,10 @@ def name(text: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray,
     rank = np.zeros(len(lms), np.int64)
     live, k = np.arange(len(lms)), 0
     while len(live):
-        key = chunk(lms[live] + k, end[live])
+        key = np.empty(len(live), np.int64)
+        for a in range(0, len(live), BLOCK):
+            some = live[a : a + BLOCK]
+            key[a : a + BLOCK] = chunk(lms[some] + k, end[some])
         order = np.lexsort((key, rank[live])) if k else np.argsort(key, kind="stable")
         r, q = rank[live][order], key[order]
         new = np.ones(len(live), bool)
