@@ -13,6 +13,7 @@ each symbol. Arrays beyond `memory` bytes are files in a scratch folder of the t
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from dataclasses import dataclass, field
@@ -38,7 +39,9 @@ class Space:
     def array(self, n: int, kind) -> np.ndarray:  # noqa: ANN001
         if n * np.dtype(kind).itemsize <= self.memory:
             return np.empty(n, kind)
-        return np.memmap(self.path(), dtype=kind, mode="w+", shape=(n,))
+        out = np.memmap(path := self.path(), dtype=kind, mode="w+", shape=(n,))
+        os.unlink(path)  # the room is free again as soon as the array is
+        return out
 
     def path(self) -> str:
         if self.folder is None:
@@ -58,13 +61,14 @@ class Queue:
 
     space: Space
     edges: np.ndarray  # first key of each page, ascending
+    kind: type  # of its numbers
     held: int = 0
     buffers: dict[int, list[np.ndarray]] = field(default_factory=dict)
     files: dict[int, str] = field(default_factory=dict)
 
     def push(self, key: np.ndarray, suffix: np.ndarray, lcp: np.ndarray) -> None:
         """key ascending."""
-        rows = np.stack([key.astype(np.int64), suffix.astype(np.int64), lcp.astype(np.int64)], axis=1)
+        rows = np.stack([key.astype(self.kind), suffix.astype(self.kind), lcp.astype(self.kind)], axis=1)
         page = np.searchsorted(self.edges, key, side="right") - 1
         cut = np.flatnonzero(np.diff(page)) + 1
         for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
@@ -82,8 +86,14 @@ class Queue:
         parts = self.buffers.pop(page, [])
         self.held -= sum(x.nbytes for x in parts)
         if page in self.files:
-            parts = [np.fromfile(self.files.pop(page), np.int64).reshape(-1, 3), *parts]
-        return np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+            parts = [np.fromfile(path := self.files.pop(page), self.kind).reshape(-1, 3), *parts]
+            os.unlink(path)
+        return np.concatenate(parts) if parts else np.zeros((0, 3), self.kind)
+
+
+def places(text: np.ndarray):  # noqa: ANN201
+    """The kind of numbers that hold places and symbols of a text."""
+    return np.int32 if len(text) < 1 << 31 else np.int64
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -237,7 +247,7 @@ def induce(text: np.ndarray, target: np.ndarray, flip: bool, seeds: np.ndarray,
     n_target = np.bincount(key_of(text[target]), minlength=top + 1)
     n_seed = np.bincount(seed_key, minlength=top + 1)
     per = n_target + n_seed
-    page_slots = max(1, space.memory // 24)
+    page_slots = max(1, space.memory // 12)
     edges, load = [0], 0
     if top < 4096:
         for k in np.flatnonzero(per):
@@ -250,18 +260,19 @@ def induce(text: np.ndarray, target: np.ndarray, flip: bool, seeds: np.ndarray,
         edges = np.unique(np.searchsorted(total, np.arange(0, total[-1], page_slots))).tolist()
         edges[0] = 0
     edges = np.array([*edges, top + 1])
-    queue = Queue(space, edges[:-1])
+    kind, short = places(text), np.int16 if limit < 1 << 15 else np.int32
+    queue = Queue(space, edges[:-1], kind)
     with_lcp = seed_lcp is not None
-    out, out_lcp = space.array(int(n_target.sum()), np.int64), space.array(int(n_target.sum()), np.int32) if with_lcp else None
+    out, out_lcp = space.array(int(n_target.sum()), kind), space.array(int(n_target.sum()), short) if with_lcp else None
     done, least = 0, np.zeros(top + 1, np.int32)
     began = np.zeros(top + 1, bool)
     seed_at = np.concatenate([[0], np.cumsum(n_seed)])
     for page in range(len(edges) - 1):
         k0, k1 = int(edges[page]), int(edges[page + 1])
         start = np.concatenate([[0], np.cumsum(per[k0:k1])])
-        slots = space.array(int(start[-1]), np.int64)
+        slots = space.array(int(start[-1]), kind)
         slots[:] = -1
-        lcp = space.array(int(start[-1]), np.int32) if with_lcp else None
+        lcp = space.array(int(start[-1]), short) if with_lcp else None
         head = start[:-1].copy()  # next free target slot of each key
         mine = slice(int(seed_at[k0]), int(seed_at[k1]))
         sk = seed_key[mine] - k0
@@ -352,7 +363,7 @@ def induce(text: np.ndarray, target: np.ndarray, flip: bool, seeds: np.ndarray,
 def lms_order(text: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(types, leftmost-S places in the order of their suffixes, number of levels below)."""
     s = types(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(places(text))
     names, all_differ = name(text, s, lms)
     if all_differ:
         order = np.empty(len(lms), np.int64)
