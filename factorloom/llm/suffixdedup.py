@@ -47,7 +47,7 @@ _NONBLANK[[9, 10, 11, 12, 13, 32]] = False
 #: Bytes of contexts in a shard, about; and under one hash, before its windows are dealt out one by one.
 SHARD_BYTES, HOT_BYTES = 4 << 20, 4 << 20
 #: Bytes that the queues and each array of a sort may hold in memory; a shard is several times that, so they go to disk.
-SORT_MEMORY = 1 << 20
+SORT_MEMORY = 2 << 20
 _KEY = "k long, size int"
 
 
@@ -85,27 +85,54 @@ def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _fetch(forms: DataFrame, docs: DataFrame, text_col: str, span: int, words: bool = False) -> DataFrame:
-    """(h, c, times, n, bytes) of each form, read from the document that stands for it."""
-    need = forms.groupBy("k", "size").agg(F.collect_list(F.struct("h", "c", "times", "p", "n")).alias("need"))
+def _fetch(forms: list[DataFrame], docs: DataFrame, text_col: str, spans: list[int]) -> DataFrame:
+    """(kind, h, c, times, n, bytes) of each form, read from the document that stands for it. forms: of bytes, and perhaps of words."""
+    both = [f.select("k", "size", F.struct(F.lit(kind).alias("kind"), "h", "c", "times", "p", "n").alias("x")) for kind, f in enumerate(forms)]
+    need = (both[0].unionByName(both[1]) if len(both) > 1 else both[0]).groupBy("k", "size").agg(F.collect_list("x").alias("need"))
     joined = docs.select("k", "size", F.col(f"row.`{text_col}`").alias("text")).join(need, ["k", "size"]).select("k", "text", "need")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None  # equal documents follow each other
         for batch in batches:
-            data, offsets = units(batch.column(1), words)
-            raw, size = data.tobytes(), data.itemsize
+            raw = []
+            for words in range(len(spans)):
+                data, offsets = units(batch.column(1), bool(words))
+                raw.append((data.tobytes(), offsets, data.itemsize))
             out: list[tuple] = []
             for r, k in enumerate(batch.column(0).to_pylist()):
                 if k == seen:
                     continue
                 seen = k
-                a = int(offsets[r])
-                out += [(x["h"], x["c"], x["times"], x["n"], raw[(a + x["p"]) * size : (a + x["p"] + x["n"] + span - 1) * size]) for x in batch.column(2)[r].as_py()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "c", "times", "n", "bytes"])
-
-    return joined.mapInArrow(tidy(cut), "h long, c long, times long, n int, bytes binary")
+                for x in batch.column(2)[r].as_py():
+                    text, offsets, size = raw[x["kind"]]
+                    a = int(offsets[r]) + x["p"]
+                    out.append((x["kind"], x["h"], x["c"], x["times"], x["n"], text[a * size : (a + x["n"] + spans[x["kind"]] - 1) * size]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["kind", "h", "c", "times", "n", "bytes"])
+
+    return joined.mapInArrow(tidy(cut), "kind int, h long, c long, times long, n int, bytes binary")
+
+
+def window_hashes(data: np.ndarray, span: int, salt: int = 0) -> np.ndarray:
+    """A hash of each window of span units."""
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(data + np.uint64(salt)) * powers(int(_BASE), len(data)), out=run[1:])
+    return mix((run[span:] - run[:-span]) * powers(int(_INVERSE), len(data) + 1)[: len(data) - span + 1])
+
+
+def _really(hit: np.ndarray, data: np.ndarray, offsets: np.ndarray, base: np.ndarray, n: np.ndarray, span: int) -> np.ndarray:
+    """Of the windows that are hit, those whose words are repeated among them."""
+    at = np.flatnonzero(hit)
+    of = np.searchsorted(base, at, side="right") - 1
+    on = at - base[of] < n[of]
+    at, of = at[on], of[on]
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(data) * powers(int(_BASE), len(data)), out=run[1:])
+    first = at - base[of] + offsets[of]
+    _, which, times = np.unique(mix((run[first + span] - run[first]) * powers(int(_INVERSE), len(data) + 1)[first]), return_inverse=True, return_counts=True)
+    out = np.zeros(len(hit), bool)
+    out[at[times[which] > 1]] = True
+    return out
 
 
 def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Table], pa.Table]:
@@ -118,8 +145,9 @@ def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Tabl
         one = order[np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))]
         data, offsets = text_bytes(t.column("bytes").take(pa.array(one)))
         h, c, n, times = h[one], c[one], n[one], times[one]
-        if words:  # numbered as they occur in the shard
-            data, offsets = np.unique(data.view(np.uint64), return_inverse=True)[1], offsets // 8
+        exact = data.view(np.uint64) if words else None
+        if words:  # a byte of a word's hash; what is equal by such bytes is compared by the whole hashes below
+            data, offsets = (exact >> np.uint64(56)).astype(np.int16) % 250, offsets // 8
         else:
             there = np.bincount(data, minlength=256) > 0
             data = (np.cumsum(there) - 1).astype(np.int16)[data]  # bytes that occur, in their order, so that one byte holds a symbol
@@ -131,6 +159,8 @@ def sort_shard(span: int, memory: int, words: bool = False) -> Callable[[pa.Tabl
             text[a + k : z + k] = data[a:z] + 2
         del data, t
         hit = xsort.repeated(text, span, memory)
+        if words:
+            hit = _really(hit, exact, offsets, base, n, span)
         spans = []
         for b, m, k in zip(base.tolist(), n.tolist(), times.tolist(), strict=True):
             if k > 1:
@@ -151,32 +181,30 @@ def _windows(hot: DataFrame, span: int, words: bool = False) -> DataFrame:
             h, c, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for r, b in enumerate(batch.column(3)):
                 data = np.frombuffer(b.as_py(), np.uint64) if words else _TABLE[np.frombuffer(b.as_py(), np.uint8)]
-                both = []
-                for salt in (np.uint64(0), np.uint64(0x5851F42D4C957F2D)):
-                    run = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum(mix(data + salt) * powers(int(_BASE), len(data)), out=run[1:])
-                    both.append(mix((run[span:] - run[:-span]) * powers(int(_INVERSE), len(data) + 1)[: len(data) - span + 1])[: n[r]].view(np.int64))
+                both = [window_hashes(data, span, salt)[: n[r]].view(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
                 m = len(both[0])
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(m, h[r])), pa.array(np.full(m, c[r])), pa.array(np.arange(m, dtype=np.int32))], names=["w", "x", "h", "c", "i"])
 
     return hot.select("h", "c", "n", "bytes").mapInArrow(tidy(scan), "w long, x long, h long, c long, i int")
 
 
-def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_bytes: int, hot_bytes: int, words: bool = False) -> DataFrame:
-    """keyed docs -> (k, size, spans): ranges of bytes (or words) to remove, flat and in no order, for documents that have any."""
-    width = 8 if words else 1
-    every = materialize(find_anchors(docs, text_col, span, gram, words))
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).where("_n > 1").drop("_n")
+def _repeated_anchors(docs: DataFrame, text_col: str, span: int, gram: int, words: bool) -> tuple[DataFrame, DataFrame]:
+    """Anchors (find_anchors) whose gram occurs again, with `mixed` if it has several contexts; and one row (h, c, times, k, size, p, n) for each of these contexts."""
+    once = materialize(find_anchors(docs, text_col, span, gram, words))
+    again = once.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), (F.min("c") != F.max("c")).alias("mixed")).where("_n > 1").drop("_n")
     again = materialize(again)  # a join of two plain scans can be split where a hash is common
-    once, every = every, materialize(every.join(again, "h"))
+    every = materialize(once.join(again, "h"))
     drop(once)
-    mixed = every.where("mixed")
-    forms = materialize(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "size", "p", "n")).alias("one")).select("h", "c", "times", "one.*"))
-    hot = materialize(forms.groupBy("h").agg(F.sum((F.col("n") + span - 1).cast("long") * width).alias("b")).where(F.col("b") > hot_bytes).select("h"))
+    forms = every.where("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "size", "p", "n")).alias("one"))
+    return every, materialize(forms.select("h", "c", "times", "one.*"))
+
+
+def _spans(every: DataFrame, forms: DataFrame, bytes_: DataFrame, span: int, shard_bytes: int, hot_bytes: int, words: bool) -> DataFrame:
+    """(k, size, spans): ranges of bytes (or words) to remove, flat and in no order, for documents that have any. bytes_: the contexts of forms."""
+    room = (F.col("n") + span - 1).cast("long") * (8 if words else 1)
+    hot = materialize(forms.groupBy("h").agg(F.sum(room).alias("b")).where(F.col("b") > hot_bytes).select("h"))
     any_hot = bool(hot.limit(1).count())
-    total = forms.agg(F.sum((F.col("n") + span - 1).cast("long") * width)).first()[0] or 0
-    shards = int(total // shard_bytes) + 1
-    bytes_ = materialize(_fetch(forms, docs, text_col, span, words))
+    shards = int((forms.agg(F.sum(room)).first()[0] or 0) // shard_bytes) + 1
     out = "h long, c long, spans array<int>"
     cool = bytes_.join(hot, "h", "left_anti") if any_hot else bytes_
     found = cool.groupBy(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).applyInArrow(sort_shard(span, SORT_MEMORY, words), out)
@@ -187,21 +215,27 @@ def find_repeats(docs: DataFrame, text_col: str, span: int, gram: int, shard_byt
         whole = forms.join(hot, "h", "left_semi").where("times > 1").select("h", "c", F.array(F.lit(0), F.col("n")).alias("spans"))
         found = found.unionByName(starts.unionByName(whole).groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     found = materialize(found.where(F.size("spans") > 0))
-    of_mixed = mixed.join(found, ["h", "c"]).select("k", "size", "p", "spans")
+    of_mixed = every.where("mixed").join(found, ["h", "c"]).select("k", "size", "p", "spans")
     of_whole = every.where("not mixed").select("k", "size", "p", F.array(F.lit(0), F.col("n")).alias("spans"))
     rows = of_mixed.unionByName(of_whole).select("k", "size", F.transform("spans", lambda x, i: x + F.col("p") + F.when(i % 2 == 1, span - 1).otherwise(0)).alias("spans"))
     return rows.groupBy("k", "size").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def find_repeats(docs: DataFrame, text_col: str, searches: list[tuple[int, int]], shard_bytes: int, hot_bytes: int) -> list[DataFrame]:
+    """_spans of keyed docs for each search (span, gram): the first is over bytes, a second one over words. Texts are fetched once for both."""
+    found = [_repeated_anchors(docs, text_col, span, gram, bool(words)) for words, (span, gram) in enumerate(searches)]
+    bytes_ = materialize(_fetch([forms for _, forms in found], docs, text_col, [span for span, _ in searches]))
+    return [_spans(every, forms, bytes_.where(F.col("kind") == words).drop("kind"), span, shard_bytes, hot_bytes, bool(words)) for words, ((every, forms), (span, _)) in enumerate(zip(found, searches, strict=True))]
+
+
 def dedup(docs: DataFrame, finish: Callable, out: StructType, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", words: tuple[int, int] | None = None) -> DataFrame:
     """Every row of docs through finish(array of row structs, merged (first, after the last) arrays of each row, the same of passages of words), which gives rows of `out`. words: span and gram in words, to find such passages too."""
     docs = keyed(docs, id_col, text_col)
-    spans = find_repeats(docs, text_col, span, gram, shard_bytes, hot_bytes)
+    spans, *more = find_repeats(docs, text_col, [(span, gram), *([words] if words else [])], shard_bytes, hot_bytes)
     none = F.lit(None).cast("array<int>")
     spans = spans.withColumn("of_words", none)
-    if words:
-        more = find_repeats(docs, text_col, *words, shard_bytes, hot_bytes, True).select("k", "size", none.alias("spans"), F.col("spans").alias("of_words"))
-        spans = spans.unionByName(more).groupBy("k", "size").agg(F.first("spans", True).alias("spans"), F.first("of_words", True).alias("of_words"))
+    for x in more:
+        spans = spans.unionByName(x.select("k", "size", none.alias("spans"), F.col("spans").alias("of_words"))).groupBy("k", "size").agg(F.first("spans", True).alias("spans"), F.first("of_words", True).alias("of_words"))
     joined = docs.join(spans, ["k", "size"], "left").select("row", "spans", "of_words")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,8 +23,8 @@ import numpy as np
 WINDOW, BLOCK = 1 << 16, 1 << 18
 #: Of sorted suffixes in text order, each so-many-th is compared first.
 SKIPS = (64, 8, 1)
-#: Memory a symbol needs where the recursion ends in a sort in memory.
-BASE_BYTES = 24
+#: Memory a symbol needs where the recursion ends in a sort in memory, and that of such a sort, as so many times `memory`.
+BASE_BYTES, BASE_TIMES = 24, 4
 _BIG = np.int32(1 << 30)
 
 
@@ -41,7 +41,7 @@ class Space:
             return np.empty(n, kind)
         out = np.memmap(path := self.path(), dtype=kind, mode="w+", shape=(n,))
         os.unlink(path)  # the room is free again as soon as the array is
-        return out
+        return out.view(np.ndarray)
 
     def path(self) -> str:
         if self.folder is None:
@@ -316,10 +316,10 @@ def induce(text: np.ndarray, target: np.ndarray, flip: bool, seeds: np.ndarray,
             if with_lcp:
                 ell = np.array(lcp[cur : cur + m], np.int32)
                 seam = np.flatnonzero(seed & ~np.append(is_seed[cur - 1] if cur else True, seed[:-1]))
-                for x in seam:  # first seed after targets of its symbol
-                    before = slots[cur + x - 1]
-                    if text[before] == text[part[x]]:
-                        ell[x] = common(text, np.array([before]), part[x : x + 1], limit)[0]
+                if len(seam):  # first seeds after targets of their symbols
+                    before = np.where(seam > 0, part[seam - 1], slots[cur - 1])
+                    same = text[before] == text[part[seam]]
+                    ell[seam[same]] = common(text, before[same], part[seam[same]], limit)
             own = part[~seed]
             out[done : done + len(own)] = own
             if with_lcp:
@@ -408,7 +408,7 @@ def doubling(text: np.ndarray) -> np.ndarray:
 
 def suffix_order(text: np.ndarray, space: Space) -> np.ndarray:
     """The suffix array of a text whose last symbol is its only smallest one."""
-    if len(text) <= max(1, space.memory // BASE_BYTES):
+    if len(text) <= max(1, space.memory * BASE_TIMES // BASE_BYTES):
         return doubling(text)
     s, seeds, _ = lms_order(text, space)
     small, _ = induce(text, ~s, False, seeds, None, space, 0)
