@@ -4,12 +4,14 @@ Subwords are runs of 2 to 4 bytes inside a word, one blank on either side counti
 a-z after lower-casing A-Z and all bytes of non-ASCII characters, anything else is a blank. Their hashes pick
 rows of an embedding table; the mean row of a document goes through a linear softmax. Both are trained by
 stochastic gradient descent in numpy on a sample of at most about `per_lang` labelled documents a language
-(the documented bound); a fifth of it is held back to set the temperature and the rejection threshold.
+(the documented bound); a fifth of it is held back to set the temperature and the two limits of rejection: the least
+score, and how unusual the subwords of a text may be (with few languages the best one scores high for any text).
 Embedding and softmax are folded into one table of logits for prediction, which reads whole texts.
 
 Defined results: a null text and one without a letter is `und` with score 0; a text of letters gets a learned
 language; ties go to the alphabetically first; labels are never read at prediction; no labelled row at all
-makes every answer `und`; an empty table gives no rows; further columns are ignored.
+makes every answer `und`; very long texts are read whole, in pieces; repeated rows get the same answer; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,21 @@ from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, UPDATES, BATCH, RATE = 12, 400, 32, 0.5  # epochs, and updates at least
-#: Labelled documents a language that the model is fitted on, about; languages at most.
-PER_LANG, MAX_LANGS = 400, 1000
-#: Share of right answers that the threshold may reject, and the threshold's upper bound.
+#: Labelled documents a language that the model is fitted on, about.
+PER_LANG = 400
+#: Share of right answers that a threshold may reject, and the upper bound of that of the score.
 REJECTS, CEILING = 0.001, 0.35
+#: Strangeness shrinks with the root of the subwords, up to so many; allowed is that of the strangest held-back text, or LEAST, times MARGIN.
+STEADY, MARGIN, LEAST = 256, 1.5, 12.0
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_PERHAPS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    r"""Whether a character of \p{L} is there; what the pattern finds besides are numbers such as a half or a Roman four."""
+    return any(m[0].isalpha() for m in _PERHAPS_LETTER.finditer(text))
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
@@ -80,13 +89,20 @@ class Model:
     langs: list[str]
     table: np.ndarray  # (BUCKETS + 1, langs): each subword's logits before averaging; the last row is zero
     bias: np.ndarray
+    usual: np.ndarray  # (BUCKETS + 1): log2 of each subword's share in training, all languages alike
     temperature: float = 1.0
     threshold: float = 0.0
+    common: float = 0.0  # mean of usual in held-back texts
+    strange: float = np.inf  # how far below it a text may be, see strangeness
+
+    def strangeness(self, usual: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How unusual texts of n subwords are, whose shares have these means: gibberish and languages never seen are."""
+        return (self.common - usual) * np.sqrt(np.minimum(n, STEADY))
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(rows, langs) probabilities."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, langs) probabilities, and strangeness."""
         rows, k = len(offsets) - 1, len(self.langs)
-        total, n = np.zeros((rows, k)), np.zeros(rows)
+        total, n, known = np.zeros((rows, k)), np.zeros(rows), np.zeros(rows)
         for i, j in steps(offsets):
             for a in range(int(offsets[i]), int(offsets[j]), STEP_BYTES):  # more than once for a very long row only
                 z = min(a + STEP_BYTES, int(offsets[j]))
@@ -98,9 +114,11 @@ class Model:
                         total[i:j, c] += run[at[1:]] - run[at[:-1]]
                     run = np.concatenate([[0], np.cumsum(b != BUCKETS)])
                     n[i:j] += run[at[1:]] - run[at[:-1]]
+                    run = np.concatenate([[0.0], np.cumsum(self.usual[b], dtype=np.float64)])
+                    known[i:j] += run[at[1:]] - run[at[:-1]]
         logits = (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return p / p.sum(axis=1, keepdims=True), self.strangeness(known / np.maximum(n, 1), n)
 
 
 def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 13) -> Model | None:
@@ -141,8 +159,16 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             out -= rate * 4 * (mean.T @ p)
             bias -= rate * p.sum(axis=0)
             emb[cols] -= rate * 200 * (x.T @ back)  # a subword's share of a document is small, so its step is larger
-    model = Model(langs, np.vstack([emb @ out, np.zeros((1, k), np.float32)]), bias)
+    seen = np.zeros((k, BUCKETS))
+    for i in train:
+        np.add.at(seen[y[i]], counts[i][0], counts[i][1])
+    shares = ((seen + 0.1) / (seen + 0.1).sum(axis=1, keepdims=True)).mean(axis=0)
+    model = Model(langs, np.vstack([emb @ out, np.zeros((1, k), np.float32)]), bias, np.append(np.log2(shares), 0).astype(np.float32))
     if len(held):
+        size = np.array([max(1, counts[i][1].sum()) for i in held])
+        usual = np.array([(model.usual[counts[i][0]] * counts[i][1]).sum() for i in held]) / size
+        model.common = float(np.average(usual, weights=size))
+        model.strange = MARGIN * max(LEAST, float(np.quantile(model.strangeness(usual, size), 1 - REJECTS)))
         z = np.concatenate([dense(held[a : a + 256]) @ emb @ out + bias for a in range(0, len(held), 256)])
 
         def probabilities(t: float) -> np.ndarray:
@@ -164,7 +190,7 @@ def held_out(id_col: str, parts: int = 4, which: int = 2) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on a hash-chosen sample of about per_lang documents of each language that are not held out."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not sizes:
         return None
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * (1 << 30))))])
@@ -188,7 +214,7 @@ def hash_key(b: np.ndarray, n: np.ndarray) -> int:
 
 
 def predict(docs: DataFrame, model: Model | None, carry: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (or `carry` as row), lang_pred, score, and accepted: it has letters and a score not below the threshold."""
+    """doc_id (or `carry` as row), lang_pred, score, and accepted: it has letters, a score not below the threshold, and usual subwords."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     slim, name = texts(docs, id_col, text_col, carry)
 
@@ -196,14 +222,14 @@ def predict(docs: DataFrame, model: Model | None, carry: Column | None = None, i
         model = held.value
         for batch in batches:
             column = text_of(batch, text_col)
-            letters = np.fromiter((bool(t.is_valid and _HAS_LETTER.search(t.as_py())) for t in column), bool, batch.num_rows)
+            letters = np.fromiter((bool(t.is_valid and has_letter(t.as_py())) for t in column), bool, batch.num_rows)
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             ok = np.zeros(batch.num_rows, bool)
             if model is not None and batch.num_rows:
-                p = model.scores(*text_bytes(column))
+                p, strange = model.scores(*text_bytes(column))
                 lang = np.where(letters, np.array(model.langs, object)[p.argmax(axis=1)], "und")
                 score = np.where(letters, p.max(axis=1), 0.0)
-                ok = letters & (score >= model.threshold)
+                ok = letters & (score >= model.threshold) & (strange <= model.strange)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[name, "lang_pred", "score", "accepted"])
 
     return slim.mapInArrow(tidy(scan), schema_of(name, slim.schema[name].dataType, "lang_pred string, score double, accepted boolean"))
