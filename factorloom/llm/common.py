@@ -85,8 +85,16 @@ def merged(batches: Iterator[pa.RecordBatch], limit: int, at: int = 1) -> Iterat
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of STEP_BYTES or one row at most, so that what is made of them stays small however many rows Spark sends at once."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * STEP_BYTES // max(1, batch.nbytes))
+        for a in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(a, rows)
+
+
 def tidy(f: Callable) -> Callable:
-    """f over the batches of a task, or one group; the worker then gives freed memory back to the system, as it may stay idle beside others."""
+    """f over the (sliced) batches of a task, or one group; the worker then gives freed memory back to the system, as it may stay idle beside others."""
 
     def release() -> None:
         pa.default_memory_pool().release_unused()
@@ -95,7 +103,7 @@ def tidy(f: Callable) -> Callable:
 
     def run(x):  # noqa: ANN001, ANN202
         try:
-            yield from f(x)
+            yield from f(sliced(x))
         finally:
             release()
 

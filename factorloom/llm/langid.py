@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +89,7 @@ class Model:
     langs: list[str]
     table: np.ndarray  # (BUCKETS + 1, langs): each subword's logits before averaging; the last row is zero
     bias: np.ndarray
-    usual: np.ndarray  # (BUCKETS + 1): log2 of each subword's share in training, all languages alike
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS + 1, np.float32))  # log2 of each subword's share in training, all languages alike
     temperature: float = 1.0
     threshold: float = 0.0
     common: float = 0.0  # mean of usual in held-back texts
