@@ -161,113 +161,146 @@ def fully_invested(cov: np.ndarray, alpha: np.ndarray, aversion: float) -> np.nd
     return x - (x.sum() - 1) / y.sum() * y
 
 
-def clip_to_simplex(w: np.ndarray) -> np.ndarray:
-    """Negative weights to 0, the rest to shares."""
-    w = np.maximum(w, 0.0)
-    return w / w.sum() if w.sum() > 1e-12 else np.full(len(w), 1.0 / len(w))
-
-
-def projected_gradient(cov: np.ndarray, alpha: np.ndarray, aversion: float, before: np.ndarray | None = None, penalty: float | None = None, step: float = 0.001, rounds: int = 1000) -> np.ndarray:
-    w = np.full(len(alpha), 1.0 / len(alpha))
-    for _ in range(rounds):
-        g = cov @ w - alpha / aversion
-        if before is not None and penalty is not None:
-            g = g + penalty * np.sign(w - before)
-        w = clip_to_simplex(w - step * g)
-        if np.linalg.norm(g) < 1e-8:
+def onto_l1_ball(v: np.ndarray, radius: float) -> np.ndarray:
+    """The nearest point whose absolute values sum to radius at most."""
+    if np.abs(v).sum() <= radius:
+        return v
+    u = np.sort(np.abs(v))[::-1]
+    excess = (np.cumsum(u) - radius) / np.arange(1, len(u) + 1)
+    cut = excess[np.flatnonzero(u > excess)[-1]]
+    return np.sign(v) * np.maximum(np.abs(v) - cut, 0.0)
+
+
+@dataclass
+class Solution:
+    weights: np.ndarray
+    gap: float  # how far constraints are missed
+    slope: float  # norm of what the multipliers leave of the gradient
+    box: np.ndarray  # multipliers: of the box (and of trading), of the rows, of the leverage
+    rows: np.ndarray
+    ball: np.ndarray
+
+
+def quadratic(cov: np.ndarray, gain: np.ndarray, low: float = 0.0, high: float = np.inf, rows: np.ndarray | None = None, between: np.ndarray | None = None, before: np.ndarray | None = None, trade: float = 0.0, leverage: float | None = None, tol: float = 1e-9, rounds: int = 10_000) -> Solution:
+    """min 1/2 w'cov w - gain'w + trade |w - before|_1, with low <= w <= high, rows w inside `between`, and |w|_1 <= leverage.
+
+    Alternating directions: one linear system that is factored once for a step size, and exact projections of the three
+    copies of w (box and trading; rows; leverage). Everything is convex, so what it converges to is the optimum.
+    """
+    n = len(gain)
+    b = np.ones((1, n)) if rows is None else rows
+    span = np.ones((len(b), 2)) if between is None else between
+    size = np.linalg.norm(b, axis=1)
+    b, span = b / size[:, None], span / size[:, None]
+    scale = max(float(np.mean(np.diag(cov))), float(np.abs(gain).max(initial=0.0)), 1e-12)
+    q, g, fee = cov / scale, gain / scale, trade / scale
+    copies = 1 + (leverage is not None)
+    rho, firm = 1.0, 100.0  # rows are held more firmly
+    # duals are scaled: u = multiplier / step
+    w = np.full(n, 1.0 / n) if before is None else before.astype(float)
+    x, ux, y, uy, v, uv = w.copy(), np.zeros(n), b @ w, np.zeros(len(b)), w.copy(), np.zeros(n)
+    system = None
+    for k in range(rounds):
+        if system is None:
+            system = np.linalg.inv(q + rho * (copies * np.eye(n) + firm * b.T @ b))
+        pull = (x - ux) + firm * b.T @ (y - uy) + ((v - uv) if leverage is not None else 0.0)
+        w = system @ (g + rho * pull)
+        old = (x, y, v)
+        t = w + ux
+        if before is not None and fee:
+            t = before + np.sign(t - before) * np.maximum(np.abs(t - before) - fee / rho, 0.0)
+        x = np.clip(t, low, high)
+        y = np.clip(b @ w + uy, span[:, 0], span[:, 1])
+        ux, uy = ux + w - x, uy + b @ w - y
+        missed = max(np.abs(w - x).max(), np.abs(b @ w - y).max())
+        moved = np.abs(x - old[0] + firm * b.T @ (y - old[1])).max()
+        if leverage is not None:
+            v = onto_l1_ball(w + uv, leverage)
+            uv = uv + w - v
+            missed, moved = max(missed, np.abs(w - v).max()), max(moved, np.abs(v - old[2]).max())
+        if missed < tol and rho * moved < tol:
             break
-    return w
-
+        if k % 50 == 49 and not 0.2 < (ratio := np.sqrt((missed + 1e-15) / (rho * moved + 1e-15))) < 5.0:  # keep both residuals alike
+            step = float(np.clip(ratio, 0.1, 10.0))
+            rho, ux, uy, uv, system = rho * step, ux / step, uy / step, uv / step, None
+    box, row, ball = rho * ux * scale, rho * firm * uy * scale / size, rho * uv * scale if leverage is not None else np.zeros(n)
+    slope = cov @ w - gain + box + (b * size[:, None]).T @ row + ball
+    return Solution(x, float(missed), float(np.abs(slope).max() / scale), box, row, ball)
 
-def _scale_groups(w: np.ndarray, limits: tuple[GroupLimit, ...], floors: bool) -> np.ndarray:
-    for g in limits:
-        m = list(g.members)
-        s = w[m].sum()
-        if g.most is not None and s > g.most and abs(s) > 1e-12:
-            w[m] *= g.most / s
-        elif floors and g.least is not None and s < g.least and abs(s) > 1e-12:
-            w[m] *= g.least / s
-    return w
 
+def constrained(cov: np.ndarray, alpha: np.ndarray, aversion: float, c: Constraints, before: np.ndarray | None = None, penalty: float | None = None) -> np.ndarray:
+    """The weights of best utility alpha'w / aversion - 1/2 w'cov w - penalty |w - before|_1 under all constraints.
 
-def penalised(cov: np.ndarray, alpha: np.ndarray, aversion: float, c: Constraints, before: np.ndarray | None = None, penalty: float | None = None, outer: int = 30, inner: int = 200) -> np.ndarray:
-    """Gradient steps with repairs: box, sum, leverage, groups; exposures by penalty; then the largest assets and the sum again."""
+    All are convex but max_assets and min_position: of the solution without these, the largest assets (that reach the
+    least position) are kept, and the problem is solved again on them with the least position as their bound.
+    """
     n = len(alpha)
-    w = before.copy() if before is not None else np.full(n, 1.0 / n)
-    low = 0.0 if c.long_only else -np.inf
     high = np.inf if c.max_position is None else max(c.max_position, 0.0 if c.market_neutral else 1.0 / n)
-    target = 0.0 if c.market_neutral else 1.0
-    for _ in range(outer):
-        for _ in range(inner):
-            g = cov @ w - alpha / aversion
-            if before is not None and penalty is not None:
-                g = g + penalty * np.sign(w - before)
-            for e in c.exposures:
-                x = np.asarray(e.exposures)
-                off = float(x @ w) - e.target
-                if abs(off) > e.tolerance:
-                    g = g + 100.0 * (abs(off) - e.tolerance) * np.sign(off) * x
-            w = w - 0.001 * g
-            if np.isnan(w).any():
-                w = np.full(n, 1.0 / n)
-                break
-            w = np.clip(w, low, high)
-            if abs(w.sum()) > 1e-12:
-                w = w + (target - w.sum()) / n
-            if c.leverage is not None and np.abs(w).sum() > c.leverage:
-                w = w * c.leverage / np.abs(w).sum()
-            w = _scale_groups(w, c.groups, True)
-            if np.linalg.norm(g) < 1e-8:
-                break
-        if not (c.full_investment or c.market_neutral) or abs(w.sum() - target) < 1e-8:
-            break
-    w = np.clip(w, low, high)
-    if c.max_assets is not None:
-        w[np.argsort(-np.abs(w), kind="stable")[c.max_assets :]] = 0.0
-    normal = c.full_investment and not c.market_neutral
-    if normal and abs(w.sum()) > 1e-12:
-        w = w / w.sum()
-    w = np.clip(w, low, high)
-    for _ in range(2):
-        w = _scale_groups(w, c.groups, False)
-    return w / w.sum() if normal and abs(w.sum()) > 1e-12 else w
-
-
-def risk_parity(cov: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:
+    low = 0.0 if c.long_only else -high
+    rows, between = [], []
+    if c.market_neutral or c.full_investment:
+        rows.append(np.ones(n))
+        between.append([0.0, 0.0] if c.market_neutral else [1.0, 1.0])
+    for limit in c.groups:
+        rows.append(np.isin(np.arange(n), limit.members).astype(float))
+        between.append([-np.inf if limit.least is None else limit.least, np.inf if limit.most is None else limit.most])
+    for e in c.exposures:
+        rows.append(np.asarray(e.exposures, float))
+        between.append([e.target - e.tolerance, e.target + e.tolerance])
+
+    def solve(own: np.ndarray, floor: float) -> np.ndarray:
+        w, some = np.zeros(n), np.array(rows).reshape(-1, n)[:, own]
+        full = some.any(axis=1)
+        lines, bounds = (some[full], np.array(between)[full]) if full.any() else (np.zeros((1, len(own))) + 1.0, np.array([[-np.inf, np.inf]]))
+        room = max(high, 1.0 / len(own)) if np.isfinite(high) and not c.market_neutral else high
+        w[own] = quadratic(cov[np.ix_(own, own)], alpha[own] / aversion, max(low, floor), room, lines, bounds, None if before is None else before[own], penalty or 0.0, c.leverage).weights
+        return w
+
+    w = solve(np.arange(n), low)
+    keep = np.argsort(-np.abs(w), kind="stable")[: c.max_assets or n]
+    if c.min_position is not None:
+        keep = keep[np.abs(w[keep]) >= c.min_position]
+    if len(keep) < n and len(keep) and (c.max_assets is not None or c.min_position is not None):
+        w = solve(np.sort(keep), c.min_position if c.min_position is not None and c.long_only else low)
+    return w
+
+
+def risk_parity(cov: np.ndarray, rounds: int = 200, tol: float = 1e-12) -> np.ndarray:
+    """Long-only weights whose risk contributions w_i (cov w)_i are all equal.
+
+    These are, up to their sum, the minimum of the strictly convex 1/2 y'C y - mean(log y) over volatility-scaled
+    weights y with correlations C, found by Newton's method with step halving.
+    """
     n = len(cov)
     if n < 2:
         raise ValueError("risk parity takes two assets at least")
-    w = np.full(n, 1.0 / n)
+    vol = np.sqrt(np.diag(cov))
+    c = cov / np.outer(vol, vol)
+    value = lambda y: 0.5 * y @ c @ y - np.log(y).mean()
+    y = np.full(n, 1.0 / np.sqrt(max(c.sum(), 1e-12)))
     for _ in range(rounds):
-        m = cov @ w
-        var = w @ m
-        if abs(var) < 1e-12:
+        slope = c @ y - 1.0 / (n * y)
+        move = np.linalg.solve(c + np.diag(1.0 / (n * y * y)), -slope)
+        fall = -slope @ move
+        if fall < tol:
             break
-        with np.errstate(invalid="ignore", divide="ignore"):
-            new = np.where(np.abs(m) < 1e-12, w, np.sqrt(var / n / m))
-        moved = np.abs(new - w).max()
-        w = new / new.sum() if new.sum() > 1e-12 else new
-        if moved < tol:
-            break
-    return w
+        step = 1.0
+        while (y + step * move <= 0).any() or value(y + step * move) > value(y) - 0.25 * step * fall:
+            step /= 2
+            if step < 1e-12:
+                break
+        y = np.maximum(y + step * move, 1e-300)
+    w = y / vol
+    return w / w.sum()
 
 
-def max_diversification(cov: np.ndarray, long_only: bool = True, rounds: int = 500, rate: float = 0.001) -> np.ndarray:
-    vol, w = np.sqrt(np.diag(cov)), np.full(len(cov), 1.0 / len(cov))
-    for _ in range(rounds):
-        m = cov @ w
-        p = np.sqrt(w @ m)
-        if not p > 1e-12:
-            break
-        g = vol / p - m * (w @ vol / p) / p**2
-        w = w + rate * g
-        if long_only:
-            w = np.maximum(w, 0.0)
-        if w.sum() > 1e-12:
-            w = w / w.sum()
-        if np.linalg.norm(g) < 1e-8:
-            break
-    return w
+def max_diversification(cov: np.ndarray, long_only: bool = True) -> np.ndarray:
+    """The highest ratio of mean volatility to portfolio volatility: minimum variance on correlations, scaled back."""
+    vol = np.sqrt(np.diag(cov))
+    c, one = cov / np.outer(vol, vol), np.zeros(len(cov))
+    y = quadratic(c, one).weights if long_only else np.linalg.solve(c, one + 1.0)
+    w = y / vol
+    return w / w.sum()
 
 
 def implied_returns(aversion: float, cov: np.ndarray, market: np.ndarray) -> np.ndarray:
@@ -280,30 +313,49 @@ def posterior_returns(implied: np.ndarray, tau: float, cov: np.ndarray, pick: np
     return np.linalg.solve(prior + pick.T @ precision @ pick, prior @ implied + pick.T @ precision @ views)
 
 
-def optimise_date(kind: str, signal: np.ndarray, cov: np.ndarray, before: np.ndarray | None = None, c: Constraints | None = None, with_cost: bool = False, aversion: float = 3.0) -> np.ndarray:
+@dataclass(frozen=True)
+class Views:
+    """Views on returns: pick @ returns is views, with this precision; market: weights that the market holds (equal ones, if None)."""
+
+    pick: tuple[tuple[float, ...], ...]
+    views: tuple[float, ...]
+    precision: tuple[float, ...]
+    tau: float = 0.05
+    market: tuple[float, ...] | None = None
+
+    def returns(self, cov: np.ndarray, aversion: float) -> np.ndarray:
+        market = np.full(len(cov), 1.0 / len(cov)) if self.market is None else np.asarray(self.market)
+        return posterior_returns(implied_returns(aversion, cov, market), self.tau, cov, np.asarray(self.pick), np.asarray(self.views), np.diag(self.precision))
+
+
+def optimise_date(kind: str, signal: np.ndarray, cov: np.ndarray, before: np.ndarray | None = None, c: Constraints | None = None, with_cost: bool = False, aversion: float = 3.0, views: Views | None = None) -> np.ndarray:
     """Weights of one date. With a cost model the turnover penalty is 0.001, else the turnover limit serves as the penalty."""
     c = c or Constraints()
     penalty = 0.001 if with_cost else c.turnover_limit
+    if kind == "black_litterman" and views is not None:
+        signal = views.returns(cov, aversion)
     if kind in ("max_sharpe", "max_ir", "black_litterman"):
-        return penalised(cov, signal, aversion, c, before, penalty)
+        return constrained(cov, signal, aversion, c, before, penalty)
     if kind == "min_variance":
-        tiny = np.full(len(cov), 1e-6)
-        return projected_gradient(cov, tiny, 1e6) if c.long_only else fully_invested(cov, tiny, 1e6) if c.full_investment else unconstrained(cov, tiny, 1e6)
+        none = np.zeros(len(cov))
+        if c.long_only:
+            return quadratic(cov, none).weights
+        return fully_invested(cov, none, 1.0) if c.full_investment else unconstrained(cov, none, 1.0)
     if kind == "turnover_aware":
-        return projected_gradient(cov, signal, aversion, before, 0.1)
+        return quadratic(cov, signal / aversion, before=before, trade=0.1).weights
     if kind == "risk_parity":
-        w = risk_parity(cov)
-        return clip_to_simplex(w) if c.long_only else w
+        return risk_parity(cov)
     if kind == "max_diversification":
         return max_diversification(cov, c.long_only)
     raise ValueError(f"unknown optimiser {kind}")
 
 
-def optimise(df: DataFrame, kind: str, lookback: int = 60, constraints: Constraints | None = None, estimator: str = "sample", with_cost: bool = False, look_ahead: bool = False) -> DataFrame:
+def optimise(df: DataFrame, kind: str, lookback: int = 60, constraints: Constraints | None = None, estimator: str = "sample", with_cost: bool = False, look_ahead: bool = False, views: Views | None = None) -> DataFrame:
     """(portfolio, trading_date, symbol, weight) of a frame (portfolio, trading_date, symbol, signal, fwd_ret).
 
     Dates depend on the weights before, so a portfolio is one ordered pass; portfolios run beside each other. The
-    covariance window ends the day before (look_ahead: with the day's own forward return).
+    covariance window ends the day before (look_ahead: with the day's own forward return). views: for black_litterman,
+    in the order of the portfolio's symbols.
     """
     c = constraints or Constraints()
 
@@ -315,7 +367,7 @@ def optimise(df: DataFrame, kind: str, lookback: int = 60, constraints: Constrai
             past = r[max(0, day - lookback) : day + look_ahead]
             cov = ESTIMATORS[estimator](past) if len(past) >= 2 else np.eye(s.shape[1])
             cov = np.where(np.isfinite(cov), cov, 0.0) + 1e-10 * np.eye(len(cov))
-            before = optimise_date(kind, np.where(np.isfinite(s[day]), s[day], 0.0), cov, before, c, with_cost)
+            before = optimise_date(kind, np.where(np.isfinite(s[day]), s[day], 0.0), cov, before, c, with_cost, views=views)
             out.append(before)
         n = s.shape[1]
         return pd.DataFrame({"portfolio": pdf["portfolio"].iloc[0], "trading_date": np.repeat(np.asarray(sig.index), n), "symbol": np.tile(np.asarray(sig.columns), len(s)), "weight": np.concatenate(out)})

@@ -1,6 +1,7 @@
 """Strategies, optimisers, covariances, risk, attribution."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,16 +10,15 @@ from factorloom.operators import covariance, optimize, risk, strategies
 
 @pytest.fixture(scope="module")
 def two_regimes(spark):
-    """100 days x 50 assets x 3 factors by arithmetic; factors change their meaning at half time."""
-    noise = (((F.lit(37) * F.col("t") + F.lit(73) * F.col("a")) % 100) - 50) / 50.0
-    df = spark.range(5000).select((F.col("id") / 50).cast("int").alias("t"), (F.col("id") % 50).alias("a"))
-    first = F.col("t") < 50
-    df = df.withColumn("n", noise * F.when(first, 0.0005).otherwise(0.005)).withColumn("fwd_ret", F.when(first, 0.001).otherwise(0.03) + F.col("n"))
-    f = {"f0": (0.1, 0.01, -0.05, 0.02), "f1": (-0.03, 0.02, 0.08, 0.01)}
-    for k, (a, b, c, d) in f.items():
-        df = df.withColumn(k, F.when(first, a * F.col("fwd_ret") + b * F.col("n")).otherwise(c * F.col("fwd_ret") + d * F.col("n")))
-    df = df.withColumn("f2", (((F.lit(17) * F.col("t") + F.lit(41) * F.col("a")) % 200) - 100) / 100.0 * 0.001)
-    return df.select(F.col("a").alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("t")).alias("trading_date"), "fwd_ret", "f0", "f1", "f2").cache()
+    """100 days, 50 assets, 3 factors: the first leads returns in the calm half, the second in the other, the third never."""
+    rng = np.random.default_rng(11)
+    days, assets = 100, 50
+    calm = np.arange(days)[:, None] < days // 2
+    lead, lag, idle = rng.normal(size=(3, days, assets))
+    ret = np.where(calm, 0.01 * lead, 0.03 * lag - 0.01 * lead) + rng.normal(0, np.where(calm, 0.004, 0.02), (days, assets))
+    date = pd.date_range("2024-01-01", periods=days).repeat(assets).date
+    df = pd.DataFrame({"symbol": np.tile(np.arange(assets), days), "trading_date": date, "fwd_ret": ret.ravel(), "f0": lead.ravel(), "f1": lag.ravel(), "f2": idle.ravel()})
+    return spark.createDataFrame(df).cache()
 
 
 NAMES = ["f0", "f1", "f2"]
@@ -59,9 +59,7 @@ def test_solvers():
     assert optimize.fully_invested(COV, ALPHA, 2.0).sum() == pytest.approx(1)
     rp = optimize.risk_parity(COV)
     parts = risk.component_volatility(rp, COV)
-    assert parts.sum() == pytest.approx(np.sqrt(rp @ COV @ rp))
-    same = np.sqrt(1 / (COV @ rp))  # the fixed point of the rule: weights go with the root of 1 / marginal risk
-    assert rp == pytest.approx(same / same.sum(), rel=1e-6)
+    assert parts.sum() == pytest.approx(np.sqrt(rp @ COV @ rp)) and parts[0] == pytest.approx(parts[1])
     for kind in ("max_sharpe", "min_variance", "turnover_aware", "risk_parity", "max_diversification"):
         w = optimize.optimise_date(kind, ALPHA, COV)
         assert w.sum() == pytest.approx(1) and (w >= -1e-9).all()
@@ -73,14 +71,73 @@ def test_constraints():
     n = 6
     cov, alpha = np.eye(n) * 0.04, np.linspace(0.01, 0.06, n)
     c = optimize.Constraints(max_position=0.3, max_assets=5, groups=(optimize.GroupLimit((4, 5), most=0.4),))
-    w = optimize.penalised(cov, alpha, 3.0, c)
+    w = optimize.constrained(cov, alpha, 3.0, c)
     assert np.count_nonzero(np.abs(w) > 1e-9) <= 5 and w.sum() == pytest.approx(1)
-    neutral = optimize.penalised(cov, alpha, 3.0, optimize.Constraints(long_only=False, market_neutral=True, full_investment=False))
+    neutral = optimize.constrained(cov, alpha, 3.0, optimize.Constraints(long_only=False, market_neutral=True, full_investment=False))
     assert neutral.sum() == pytest.approx(0, abs=1e-6)
     assert optimize.Constraints().feasible(np.array([0.5, 0.6])) == ["full_investment"]
     assert optimize.Constraints(leverage=1.0, long_only=False).feasible(np.array([1.5, -0.5])) == ["leverage"]
 
 
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("leverage", [None, 1.4])
+def test_optimality(seed, leverage):
+    """Karush-Kuhn-Tucker: feasible, no slope left, and multipliers only at bounds, with the right sign."""
+    rng = np.random.default_rng(seed)
+    n = 12
+    cov = (f := rng.normal(0, 0.02, (n, 30))) @ f.T / 30 + 1e-5 * np.eye(n)
+    gain = rng.normal(0, 0.001, n)
+    rows, between = np.vstack([np.ones(n), np.arange(n) < 4, rng.normal(size=n)]), np.array([[1, 1], [0.1, 0.3], [-0.2, 0.2]])
+    low = 0.0 if leverage is None else -0.5
+    got = optimize.quadratic(cov, gain, low, 0.5, rows, between, leverage=leverage)
+    w, tol = got.weights, 1e-6
+    assert got.gap < tol and got.slope < 1e-5
+    assert (w >= low - tol).all() and (w <= 0.5 + tol).all() and leverage is None or np.abs(w).sum() <= 1.4 + tol
+    assert ((rows @ w >= between[:, 0] - tol) & (rows @ w <= between[:, 1] + tol)).all()
+    small = 1e-6 * np.diag(cov).mean() + 1e-9
+    for m, x, a, z in ((got.box, w, np.full(n, low), np.full(n, 0.5)), (got.rows, rows @ w, *between.T)):
+        assert (x[m > small] > z[m > small] - 1e-4).all() and (x[m < -small] < a[m < -small] + 1e-4).all()
+    value = lambda x: 0.5 * x @ cov @ x - gain @ x
+    for _ in range(200):  # no feasible neighbour is better
+        other = w + rng.normal(0, 0.01, n) * (rng.random(n) < 0.4)
+        other += (1 - other.sum()) / n
+        inside = (other >= low).all() and (other <= 0.5).all() and ((rows @ other >= between[:, 0]) & (rows @ other <= between[:, 1] + 1e-9))[1:].all()
+        if inside and (leverage is None or np.abs(other).sum() <= leverage):
+            assert value(other) > value(w) - 1e-9
+
+
+def test_trading_costs():
+    """A fee above every slope difference keeps the old weights; none forgets them; between, what moves moves for a reason."""
+    rng = np.random.default_rng(3)
+    cov, gain, before = np.diag(rng.uniform(0.01, 0.04, 6)), rng.normal(0, 0.01, 6), np.full(6, 1 / 6)
+    assert optimize.quadratic(cov, gain, before=before, trade=1.0).weights == pytest.approx(before, abs=1e-6)
+    free = optimize.quadratic(cov, gain).weights
+    assert optimize.quadratic(cov, gain, before=before, trade=0.0).weights == pytest.approx(free, abs=1e-6)
+    some = optimize.quadratic(cov, gain, before=before, trade=0.003)
+    moved = np.flatnonzero((np.abs(some.weights - before) > 1e-4) & (some.weights > 1e-4))
+    assert len(moved) and some.box[moved] == pytest.approx(0.003 * np.sign(some.weights - before)[moved], abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [2, 15, 80])
+def test_risk_parity_and_diversification(n):
+    rng = np.random.default_rng(n)
+    cov = np.cov(rng.normal(0, rng.uniform(0.01, 0.05, n), (24, n)).T) + 1e-10 * np.eye(n)
+    w = optimize.risk_parity(cov)
+    part = w * (cov @ w)
+    assert w.sum() == pytest.approx(1) and (w > 0).all() and part == pytest.approx(np.full(n, part.mean()), rel=1e-5)
+    ratio = lambda x: x @ np.sqrt(np.diag(cov)) / np.sqrt(x @ cov @ x)
+    best = optimize.max_diversification(cov)
+    assert best.sum() == pytest.approx(1) and (best > -1e-9).all()
+    assert all(ratio(best) >= ratio(x) - 1e-6 for x in rng.dirichlet(np.ones(n), 200))
+
+
+def test_views_reach_the_weights(spark):
+    cov, none = np.diag([0.04, 0.04, 0.04]), np.zeros(3)
+    plain = optimize.optimise_date("black_litterman", none, cov, views=optimize.Views(((1, 0, 0),), (0.04,), (1e-9,)))
+    sure = optimize.optimise_date("black_litterman", none, cov, views=optimize.Views(((1, 0, 0),), (0.2,), (1e6,)))
+    assert plain == pytest.approx(np.full(3, 1 / 3), abs=1e-4) and sure[0] > 0.5
+
+
 def test_black_litterman():
     pi = optimize.implied_returns(2.5, COV, np.array([0.6, 0.4]))
     sure = optimize.posterior_returns(pi, 0.05, COV, np.array([[1.0, 0.0]]), np.array([0.2]), np.array([[1e9]]))
