@@ -1,13 +1,21 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes blocks of text (bounded by block-level tags) with the containers around them. A linear classifier
-gives each block the odds of being content; its two costs are the capacities of the edges to the terminals.
-Neighbouring blocks, and blocks that follow each other in one container, are joined by smoothness edges that are
-the stronger the closer they are in the tree. The minimum cut (maximum flow) splits content from boilerplate.
-
-Defined results: a null or empty page, and one without content, has the empty text; broken markup is read as far
-as it goes (an unfinished tag at the end is no text, an unclosed element ends with its parent); character references
-are decoded; white space in a block becomes one space; repeated pages are read alike; further columns are ignored.
+A page becomes blocks of text (bounded by block-level tags) in a tree of containers. A linear classifier gives each block
+the odds of being content from its words, links, punctuation, and the nearest hint above it: an element made for content
+or boilerplate, or such a name on it. Its two costs are the capacities of the edges to the terminals. Blocks that follow
+each other, on the page or in one container, are joined by smoothness edges that are the stronger the closer they are in
+the tree; among paragraphs of one container they outweigh a weak or wrong classifier, so a paragraph of links inside an
+article stays and a sentence in a menu goes. The minimum cut (maximum flow) splits content from boilerplate. Weights are
+set by hand: there are no labelled pages to fit them on.
+
+A hint counts for what is below it until a nearer one. Names on html, body, and on whatever stands above a content element
+say nothing about that element; names such as header or widget say nothing inside one, and names on paragraphs little.
+
+Defined results: a null or empty page, and one without content, has the empty text; broken markup is read as far as it
+goes (an unfinished tag at the end is no text, an unclosed element ends with its parent); character references are
+decoded; white space in a block becomes one space; ties of the cut go to boilerplate; very long and deep pages are read
+whole, with memory in proportion; repeated pages are read alike; an empty table gives no rows; further columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -23,30 +31,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]|['"])*?)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 #: Elements whose insides are never text of the page.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea button head title datalist map".split())
+DROPPED = frozenset("script style noscript template svg iframe object canvas audio video select option textarea button head title datalist map".split())
 _RAW = frozenset(("script", "style", "textarea", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mstyle semantics annotation".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 CONTENT_NAMES = frozenset("article content main post entry story body".split())
 BOILERPLATE_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent dialog disqus footer "
-    "form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion reader recommended "
-    "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets alert hidden".split()
+    "ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments commentlist cookie cookies consent dialog disqus footer "
+    "gdpr menu modal nav navbar navigation newsletter pagination pager popup promo promotion recommended related reply replies respond share sharing "
+    "sidebar signup social sponsor sponsored subscribe subscription hidden".split()
 )
-#: Weights of the classifier (log odds of content) and of the smoothness edges.
-WEIGHTS = {"bias": -1.0, "content": 6.0, "named": 1.5, "boilerplate": -9.0, "boilerplate_name": -9.0, "links": -3.0, "words": 0.7, "sentence": 0.8, "heading": 0.5}
-ADJACENT, SAME_PARENT, LIMIT = 0.8, 0.5, 20.0
+#: Names of boilerplate outside of content elements only.
+OUTER_NAMES = frozenset("banner form header login masthead notice notices reader tags toolbar widget widgets alert".split())
+#: A name with such a word before it tells of something else on the page.
+_ABOUT = frozenset("has with without no not is".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
+#: Weights of the classifier (log odds of content), of which `words` counts up to `most`.
+WEIGHTS = {"bias": -2.0, "words": 0.9, "most": 4.5, "links": -4.0, "sentence": 1.0, "heading": 0.5, "content": 2.0, "named": 1.0, "boilerplate": -8.0, "weak": -1.5}
+#: Smoothness of neighbours is NEAR / distance^2, and SAME_PARENT for those that follow each other in one container only.
+NEAR, SAME_PARENT, LIMIT = 8.0, 1.0, 20.0
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    parents: tuple[int, ...]  # numbers of the containers around it
+    holder: int  # number of its container
     odds: float
 
 
@@ -54,31 +70,56 @@ class Block:
 class _Element:
     tag: str
     number: int
-    content: bool
-    boilerplate: bool
-    named: bool
-    bad_name: bool
+    hint: str  # of the nearest element that has one
+    inside: bool  # whether a content element is here or above
+    boilerplate: bool  # whether its own tag is boilerplate
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role speak for content, or for boilerplate."""
-    good = bad = False
+def _names(attributes: str, inside: bool) -> str:
+    """What class, id, role and visibility say: content, boilerplate or nothing."""
+    good = False
     for key, value in _ATTRIBUTE.findall(attributes):
         value, key = value.strip("\"'").lower(), key.lower()
         if key in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value)) | {value}
-            good, bad = good or bool(words & CONTENT_NAMES), bad or bool(words & BOILERPLATE_NAMES)
+            for token in value.split():
+                words = re.split(r"[^a-z0-9]+", token)
+                own = {w for k, w in enumerate(words) if not k or words[k - 1] not in _ABOUT}
+                if own & BOILERPLATE_NAMES or not inside and own & OUTER_NAMES:
+                    return "boilerplate"
+                good = good or bool(own & CONTENT_NAMES)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            bad = True
-    return good, bad
+            return "boilerplate"
+    return "named" if good else ""
+
+
+class Page:
+    """The blocks of a page in page order, and the tree of their containers."""
+
+    def __init__(self, page: str) -> None:
+        self.parent, self.depth = [0], [0]
+        self.blocks = _read(page, self)
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two containers; over all neighbours in page order these are no more than the tags."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.parent[a], steps + 1
+        return steps
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in page order, with their log odds."""
+    return Page(page).blocks
+
+
+def _read(page: str, tree: Page) -> list[Block]:
+    """The blocks of a page in page order, with their log odds; containers go into the tree."""
     out: list[Block] = []
     stack: list[_Element] = []
     parts: list[str] = []
-    state = {"links": 0, "a": 0, "number": 0, "heading": False}
+    state = {"links": 0, "a": 0, "heading": False}
+    w = WEIGHTS
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -86,12 +127,8 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             words = text.count(" ") + 1
-            w = WEIGHTS
-            odds = w["bias"] + w["words"] * math.log1p(words) + w["links"] * min(1.0, linked / len(text)) + w["sentence"] * (text[-1] in ".!?…\"'”»") + w["heading"] * state["heading"]
-            inside = any(e.content for e in stack)
-            odds += w["content"] * inside + w["named"] * any(e.named for e in stack)
-            odds += w["boilerplate"] * any(e.boilerplate for e in stack) + w["boilerplate_name"] * any(e.bad_name for e in stack)
-            out.append(Block(text, tuple(e.number for e in stack), odds))
+            odds = w["bias"] + min(w["most"], w["words"] * math.log1p(words)) + w["links"] * min(1.0, linked / len(text)) + w["sentence"] * (text[-1] in ".!?…\"'”»") + w["heading"] * state["heading"]
+            out.append(Block(text, stack[-1].number if stack else 0, odds + (w.get(stack[-1].hint, 0.0) if stack else 0.0)))
 
     at, n = 0, len(page)
     while at < n:
@@ -123,8 +160,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in INLINE or tag in VOID:
-            good, bad = (False, False) if close or tag in VOID else _names(m.group(3))
-            if not bad:
+            if close or tag in VOID or _names(m.group(3), bool(stack) and stack[-1].inside) != "boilerplate":
                 continue
         flush()
         state["heading"] = not close and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -140,10 +176,16 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         if stack and stack[-1].tag == "p":
             stack.pop()
-        good, bad = _names(m.group(3))
-        state["number"] += 1
-        inside = any(e.content for e in stack)
-        stack.append(_Element(tag, state["number"], tag in CONTENT_TAGS, tag in BOILERPLATE_TAGS and not (tag == "header" and inside), good and not bad, bad))
+        above = stack[-1] if stack else _Element("", 0, "", False, False)
+        inside = above.inside or tag in CONTENT_TAGS
+        boilerplate = tag in BOILERPLATE_TAGS and not (tag == "header" and above.inside)
+        named = "" if tag in ("html", "body") else _names(m.group(3), inside)
+        if named == "boilerplate" and above.inside and tag in PARAGRAPHS:
+            named = "weak"
+        hint = "boilerplate" if boilerplate else "content" if tag in CONTENT_TAGS and named != "boilerplate" else named or above.hint
+        tree.parent.append(above.number)
+        tree.depth.append(tree.depth[above.number] + 1)
+        stack.append(_Element(tag, len(tree.parent) - 1, hint, inside, boilerplate))
     if at < n:
         parts.append(page[at:])
     flush()
@@ -213,27 +255,26 @@ def _flow_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bo
             a = to[e]
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(page: Page) -> list[bool]:
     """Content or not, for each block."""
+    found = page.blocks
     gain = [max(-LIMIT, min(LIMIT, b.odds)) for b in found]  # the two terminal costs differ by the log odds
     if all(g > 0 for g in gain) or all(g <= 0 for g in gain):
         return [g > 0 for g in gain]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            a, c = found[i - 1].parents, b.parents
-            shared = next((k for k, (x, y) in enumerate(zip(a, c, strict=False)) if x != y), min(len(a), len(c)))
-            edges.append((i - 1, i, ADJACENT / (1 + len(a) + len(c) - 2 * shared)))
-        holder = b.parents[-2:-1]
-        if holder in last and last[holder] != i - 1:
-            edges.append((last[holder], i, SAME_PARENT))
-        last[holder] = i
+            edges.append((i - 1, i, NEAR / max(2, page.distance(found[i - 1].holder, b.holder)) ** 2))
+        above = page.parent[b.holder]
+        if last.get(above, i - 1) != i - 1:
+            edges.append((last[above], i, SAME_PARENT))
+        last[above] = i
     return _flow_cut(gain, edges)
 
 
 def extract(page: str | None) -> str:
-    found = blocks(page) if page else []
-    return "\n".join(b.text for b, on in zip(found, label(found), strict=True) if on)
+    read = Page(page or "")
+    return "\n".join(b.text for b, on in zip(read.blocks, label(read), strict=True) if on)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -245,4 +286,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(tidy(scan), f"page_id {kind}, url string, text string, n_chars long")
