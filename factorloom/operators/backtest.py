@@ -9,7 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,30 +116,54 @@ def simulate(label: np.ndarray, weight: np.ndarray, tradable: np.ndarray, open_:
 def group_returns(weighted: DataFrame, prices: DataFrame, config: BacktestConfig) -> DataFrame:
     """(factor, trading_date, grp, ret): returns of each group from the second date on.
 
-    One grouped pass a factor: its rows are joined to the grid on (trading_date, symbol), and only labelled or held
-    names matter, but a name may be held through days without a label, so the grid is whole.
+    The value of a group depends on its own past, so one grouped pass a factor takes the whole grid (a name may be held
+    through days without a label). The rows of a date are gathered into one first, prices once for all factors, so what
+    is sorted and shuffled by factor is a row a date; it becomes date x symbol matrices of about 50 bytes a cell. Factors run
+    beside each other.
     """
+    day = F.unix_date("trading_date").alias("day")
+    number = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    sent, told = ("open", "close", "vwap", "tradable"), ("label", "weight")
+    grid = prices.select(day, "symbol", *number(*sent)).groupBy("day").agg(F.collect_list(F.struct("symbol", *sent)).alias("grid"))
+    marks = weighted.where("label > 0").select("factor", day, "symbol", *number(*told)).groupBy("factor", "day").agg(F.collect_list(F.struct("symbol", *told)).alias("marks"))
     factors = weighted.select("factor").distinct()
-    grid = prices.select("trading_date", "symbol", "open", "close", "vwap", "tradable").join(F.broadcast(factors))
-    rows = grid.join(weighted.select("factor", "trading_date", "symbol", "label", "weight"), ["factor", "trading_date", "symbol"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        day, dates = pd.factorize(pdf["trading_date"], sort=True)
-        sym, names = pd.factorize(pdf["symbol"], sort=True)
-        shape = (len(dates), len(names))
-
-        def matrix(c: str, fill: float) -> np.ndarray:
-            m = np.full(shape, fill)
-            m[day, sym] = pd.to_numeric(pdf[c]).to_numpy(dtype=float, na_value=fill)
+    none = lambda of: F.lit(None).cast(of.dtypes[-1][1]).alias(of.columns[-1])
+    rows = grid.join(F.broadcast(factors)).select("factor", "day", "grid", none(marks)).unionByName(marks.select("factor", "day", none(grid), "marks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        days, day = np.unique(t.column("day").to_numpy(), return_inverse=True)
+        parts = [t.column(c).combine_chunks() for c in ("grid", "marks")]
+        names, places = None, []
+        for x in parts:
+            size = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+            flat = x.flatten()
+            coded = flat.field("symbol").dictionary_encode()
+            if names is None:  # names in their order; those that only have labels don't exist for trading
+                names = coded.dictionary.take(pc.sort_indices(coded.dictionary))
+            at = pc.fill_null(pc.index_in(coded.dictionary, names), -1).to_numpy(zero_copy_only=False)
+            places.append((flat, np.repeat(day, size), at[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)))
+        shape = (len(days), len(names))
+        there = np.zeros(shape, bool)
+        there[places[0][1], places[0][2]] = True
+
+        def matrix(c: str, fill: float, part: int) -> np.ndarray:
+            flat, d, n = places[part]
+            m, on = np.full(shape, fill), n >= 0
+            x = flat.field(c).to_numpy(zero_copy_only=False)
+            m[d[on], n[on]] = (np.nan_to_num(x, nan=fill) if fill == 0 else x)[on]
             return m
 
-        if shape[0] < 2:
-            return pd.DataFrame({"factor": [], "trading_date": [], "grp": [], "ret": []})
-        r = simulate(matrix("label", 0.0).astype(int), matrix("weight", np.nan), matrix("tradable", 0.0) > 0.5, matrix("open", np.nan), matrix("close", np.nan), matrix("vwap", np.nan), config)
-        n = r.shape[0]
-        return pd.DataFrame({"factor": pdf["factor"].iloc[0], "trading_date": np.repeat(np.asarray(dates[1:]), config.quantiles), "grp": np.tile(np.arange(1, config.quantiles + 1), n), "ret": r.ravel()})
+        keep = there.any(axis=1)  # so with dates
+        days = days[keep]
+        if len(days) < 2:
+            return pa.table({"factor": pa.array([], pa.string()), "day": pa.array([], pa.int32()), "grp": pa.array([], pa.int32()), "ret": pa.array([], pa.float64())})
+        label = np.where(there, matrix("label", 0.0, 1), 0.0)[keep].astype(int)
+        r = simulate(label, matrix("weight", np.nan, 1)[keep], matrix("tradable", 0.0, 0)[keep] > 0.5, *(matrix(c, np.nan, 0)[keep] for c in ("open", "close", "vwap")), config)
+        n, k = len(r), config.quantiles
+        return pa.table({"factor": pa.array([t.column("factor")[0].as_py()] * (n * k), pa.string()), "day": pa.array(np.repeat(days[1:], k).astype(np.int32)), "grp": pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), "ret": pa.array(r.ravel())})
 
-    return rows.groupBy("factor").applyInPandas(run, "factor string, trading_date date, grp int, ret double")
+    out = rows.groupBy("factor").applyInArrow(run, "factor string, day int, grp int, ret double")
+    return out.select("factor", F.date_from_unix_date("day").alias("trading_date"), "grp", "ret")
 
 
 def nav(returns: DataFrame, ret: str = "ret", by: tuple[str, ...] = ("factor", "grp")) -> DataFrame:
@@ -207,6 +232,15 @@ def weight_turnover(weighted: DataFrame) -> DataFrame:
     return daily.groupBy("factor").agg(F.avg("t").alias("weight_turnover"))
 
 
+def turnovers(weighted: DataFrame) -> DataFrame:
+    """(factor, turnover, weight_turnover) of label_turnover and weight_turnover, in one pass over the panel."""
+    w = Window.partitionBy("factor", "symbol").orderBy("trading_date")
+    pairs = weighted.select("factor", "trading_date", "label", "weight", F.lag("label").over(w).alias("_l"), F.lag("weight").over(w).alias("_w"))
+    half = F.sum(F.when(F.col("_w").isNotNull(), F.abs(F.col("weight") - F.col("_w")))) / 2
+    daily = pairs.groupBy("factor", "trading_date").agg(F.sum((F.col("label") != F.col("_l")).cast("double")).alias("moved"), F.count("_l").alias("n"), half.alias("t"))
+    return daily.groupBy("factor").agg(F.try_divide(F.sum("moved"), F.sum("n")).alias("turnover"), F.avg("t").alias("weight_turnover"))
+
+
 def positions(labelled: DataFrame, bins: int, long_n: int = 1, short_n: int = 1) -> DataFrame:
     """labelled with position: 1 in the top groups, -1 in the bottom ones, else 0."""
     return labelled.withColumn("position", F.when(F.col("label") > bins - long_n, 1.0).when((F.col("label") >= 1) & (F.col("label") <= short_n), -1.0).otherwise(0.0))
@@ -237,15 +271,15 @@ def run(panel: DataFrame, prices: DataFrame, config: BacktestConfig | None = Non
 
     config = config or BacktestConfig()
     labelled = labelled if labelled is not None else groups(panel, config.quantiles)
-    weighted = weights(labelled, config.quantiles, config.weight_method)
-    joined = labelled.join(prices.select("trading_date", "symbol", "fwd_ret", "tradable"), ["trading_date", "symbol"])
+    weighted = weights(labelled, config.quantiles, config.weight_method).persist(StorageLevel.MEMORY_AND_DISK)  # returns, IC and turnover read it
+    joined = weighted.join(prices.select("trading_date", "symbol", "fwd_ret", "tradable"), ["trading_date", "symbol"])
     ic = ic_series(joined)
     returns = group_returns(weighted, prices, config).persist(StorageLevel.MEMORY_AND_DISK)  # small, and all that follows reads it
     ls = long_short(returns, config)
     first = Window.orderBy("trading_date")
     bench = prices.select("trading_date").distinct().withColumn("_next", F.lead("trading_date").over(first)).join(passive(prices), "trading_date")
     daily = ls.join(bench.select(F.col("_next").alias("trading_date"), "passive_ret"), "trading_date", "left")
-    all_metrics = metrics(daily, "ls_ret").join(ic_stats(ic), "factor", "left").join(label_turnover(labelled), "factor", "left").join(weight_turnover(weighted), "factor", "left")
+    all_metrics = metrics(daily, "ls_ret").join(ic_stats(ic), "factor", "left").join(turnovers(weighted), "factor", "left")
     return BacktestResult(labelled, returns, nav(returns), daily, ic, group_ic(joined, config), all_metrics)
 
 
