@@ -160,6 +160,34 @@ def pear(a: str, b: str, least: int = 2, flat: str = "0") -> str:
 IC = f"ic AS (SELECT factor, trading_date, {pear('value', 'fwd_ret')} AS ic FROM joined GROUP BY 1, 2 HAVING trading_date < (SELECT max(trading_date) FROM joined))"
 PASSIVE = "passive AS (SELECT trading_date, coalesce(avg(CASE WHEN present THEN fwd_ret END), 0) AS passive_ret FROM grid GROUP BY 1),\nser AS (SELECT trading_date, passive_ret / 10 AS ret FROM passive)"
 SER = f"WITH {MONTH},\n{GRID},\n{PASSIVE}"
+def each(expr: str) -> str:
+    """A list over the places of a portfolio's symbols."""
+    return f"list_transform(range(1, len(sh) + 1), lambda i: {expr})"
+
+
+#: Net asset values by recursion over dates: shares of each group as a list in the order of symbols.
+NAVS = f"""days AS (SELECT trading_date, row_number() OVER (ORDER BY trading_date) AS k FROM dates),
+wt AS (SELECT factor, trading_date, symbol, label, CASE WHEN label > 0 THEN 0.2 / count(*) OVER (PARTITION BY factor, trading_date, label) ELSE 0 END AS weight FROM labelled),
+cells AS (
+  SELECT f.factor, d.k, d.trading_date, list(coalesce(w.label, 0) ORDER BY g.symbol) AS lab, list(CAST(coalesce(w.weight, 0) AS DOUBLE) ORDER BY g.symbol) AS wei, list(g.rn IS NOT NULL ORDER BY g.symbol) AS can,
+    list(CAST(coalesce(g.y, 0) AS DOUBLE) ORDER BY g.symbol) AS op, list(CAST(coalesce(g.close, 0) AS DOUBLE) ORDER BY g.symbol) AS cl, list(CASE WHEN g.vol > 0 THEN CAST(coalesce(g.y, 0) AS DOUBLE) ELSE 0 END ORDER BY g.symbol) AS vw
+  FROM grid1 g JOIN days d USING (trading_date) CROSS JOIN (SELECT DISTINCT factor FROM panel) f LEFT JOIN wt w ON w.factor = f.factor AND w.trading_date = g.trading_date AND w.symbol = g.symbol
+  GROUP BY f.factor, d.k, d.trading_date),
+st AS (
+  SELECT factor, grp, k, list_transform(lab, lambda x: CAST(0 AS DOUBLE)) AS sh, CAST(1 AS DOUBLE) AS nv, CAST(NULL AS DOUBLE) AS ret FROM cells, (SELECT unnest(range(1, 6)) AS grp) WHERE k = 1
+  UNION ALL
+  SELECT factor, grp, k, held, now, now / nv - 1 FROM (
+    SELECT factor, grp, k, held, nv, CASE WHEN cnt = 0 AND list_sum({each('abs(sh[i])')}) = 0 THEN nv ELSE greatest(list_sum({each('held[i] * cl[i]')}) - fee, 0) END AS now FROM (
+      SELECT *, CASE WHEN cnt = 0 THEN sh ELSE bought END AS held,
+        CASE WHEN cnt = 0 THEN 0 ELSE list_sum({each('CASE WHEN abs(bought[i] - sh[i]) > 1e-15 THEN abs(bought[i] - sh[i]) * CASE WHEN bought[i] > sh[i] THEN 0.0015 ELSE 0.0025 END * vw[i] ELSE 0 END')}) END AS fee FROM (
+        SELECT *, {each('CASE WHEN pool[i] THEN CASE WHEN op[i] > 0 THEN CASE WHEN wei[i] > 0 THEN wei[i] / total ELSE 1.0 / cnt END * cash / op[i] ELSE 0 END WHEN can[i] THEN 0 ELSE sh[i] END')} AS bought FROM (
+          SELECT *, CASE WHEN sold <= 0 THEN nv ELSE sold END AS cash, CASE WHEN told = 0 THEN cnt ELSE told END AS total FROM (
+            SELECT *, list_sum({each('CASE WHEN pool[i] THEN 1 ELSE 0 END')}) AS cnt, list_sum({each('CASE WHEN can[i] AND sh[i] <> 0 THEN sh[i] * op[i] ELSE 0 END')}) AS sold, list_sum({each('CASE WHEN pool[i] THEN wei[i] ELSE 0 END')}) AS told FROM (
+              SELECT s.factor, s.grp, t.k, s.sh, s.nv, t.can, t.op, t.cl, t.vw, b.wei, list_transform(range(1, len(s.sh) + 1), lambda i: t.can[i] AND b.lab[i] = s.grp) AS pool
+              FROM st s JOIN cells t ON t.factor = s.factor AND t.k = s.k + 1 JOIN cells b ON b.factor = s.factor AND b.k = s.k))))))),
+navs AS (SELECT st.factor, d.trading_date, CAST(st.grp AS INTEGER) AS grp, st.ret, st.nv FROM st JOIN days d USING (k) WHERE st.k > 1),
+ls AS (SELECT factor, trading_date, sum(CASE WHEN grp > 4 THEN ret END) AS long_ret, -sum(CASE WHEN grp <= 1 THEN ret END) AS short_ret, sum(CASE WHEN grp > 4 THEN ret END) - sum(CASE WHEN grp <= 1 THEN ret END) AS ls_ret FROM navs GROUP BY 1, 2)"""
+TRADED = f"{BASE.replace('WITH ', 'WITH RECURSIVE ', 1)},\n{NAVS}"
 NV = "nv AS (SELECT *, product(1 + coalesce(ret, 0)) OVER (ORDER BY trading_date ROWS UNBOUNDED PRECEDING) AS nv FROM ser)"
 PEAK = f"{NV},\npk AS (SELECT *, greatest(1.0, max(nv) OVER (ORDER BY trading_date ROWS UNBOUNDED PRECEDING)) AS peak FROM nv),\ndd AS (SELECT *, (peak - nv) / peak AS drawdown FROM pk)"
 LOGSUM = "sum(CASE WHEN ret > -1 THEN ln(1 + ret) ELSE 0 END)"
@@ -237,9 +265,8 @@ FROM ibars WINDOW g AS (PARTITION BY symbol, trading_date)""",
 SELECT factor, trading_date, symbol, {rnd('CASE WHEN label > 0 THEN 0.2 / count(*) OVER g ELSE 0 END')} AS equal,
   {rnd('CASE WHEN label > 0 THEN CASE WHEN sum(value) OVER g <> 0 THEN value / sum(value) OVER g ELSE 0 END ELSE 0 END')} AS weighted
 FROM labelled WINDOW g AS (PARTITION BY factor, trading_date, label)""",
-    "bt_longshort": f"""{BASE},
-g AS (SELECT factor, trading_date, label, avg(fwd_ret) AS ret FROM joined WHERE label > 0 GROUP BY 1, 2, 3)
-SELECT factor, trading_date, {rnd('sum(CASE WHEN label > 4 THEN ret END)')} AS long_ret, {rnd('-sum(CASE WHEN label <= 1 THEN ret END)')} AS short_ret, {rnd('sum(CASE WHEN label > 4 THEN ret END) - sum(CASE WHEN label <= 1 THEN ret END)')} AS ls_ret FROM g GROUP BY 1, 2""",
+    "bt_nav": f"{TRADED} SELECT factor, trading_date, grp, {rnd('ret')} AS ret, {rnd('nv')} AS nv FROM navs",
+    "bt_longshort": f"{TRADED} SELECT factor, trading_date, {rnd('long_ret')} AS long_ret, {rnd('short_ret')} AS short_ret, {rnd('ls_ret')} AS ls_ret FROM ls",
     "bt_passive": f"{SER} SELECT trading_date, {rnd('passive_ret')} AS passive_ret FROM passive",
     "bt_ic": f"{BASE},\n{IC} SELECT factor, trading_date, {rnd('ic')} AS ic FROM ic",
     "bt_ic_next": f"""{BASE},
@@ -255,10 +282,12 @@ l2 AS (SELECT *, lag(weight) OVER (PARTITION BY factor, symbol ORDER BY trading_
 t AS (SELECT factor, avg(CASE WHEN label <> b THEN 1.0 ELSE 0.0 END) AS turnover FROM l WHERE b IS NOT NULL GROUP BY 1),
 d AS (SELECT factor, trading_date, sum(abs(weight - wb)) / 2 AS t FROM l2 WHERE wb IS NOT NULL GROUP BY 1, 2)
 SELECT t.factor, {rnd('any_value(turnover)')} AS turnover, {rnd('avg(d.t)')} AS weight_turnover FROM t JOIN d ON t.factor = d.factor GROUP BY 1""",
-    "bt_metrics": f"""{SER},
-{PEAK},
-a AS (SELECT exp({LOGSUM}) - 1 AS total, count(*) AS n, stddev_samp(ret) AS s, avg(ret) AS m, max(drawdown) AS mdd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win FROM dd)
-SELECT 'passive' AS factor, {rnd('total')} AS total_return, {rnd('pow(1 + total, 252.0 / n) - 1')} AS annual_return, {rnd('s * sqrt(252)')} AS volatility, {rnd('CASE WHEN s > 0 THEN m / s * sqrt(252) ELSE 0 END')} AS sharpe,
+    "bt_metrics": f"""{TRADED},
+lr AS (SELECT factor, trading_date, round(ls_ret, 10) AS ls_ret FROM ls),
+nv AS (SELECT factor, trading_date, ls_ret AS ret, product(1 + coalesce(ls_ret, 0)) OVER (PARTITION BY factor ORDER BY trading_date ROWS UNBOUNDED PRECEDING) AS nv FROM lr),
+pk AS (SELECT *, greatest(1.0, max(nv) OVER (PARTITION BY factor ORDER BY trading_date ROWS UNBOUNDED PRECEDING)) AS peak FROM nv),
+a AS (SELECT factor, exp({LOGSUM}) - 1 AS total, count(*) AS n, stddev_samp(ret) AS s, avg(ret) AS m, max((peak - nv) / peak) AS mdd, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win FROM pk GROUP BY factor)
+SELECT factor, {rnd('total')} AS total_return, {rnd('pow(1 + total, 252.0 / n) - 1')} AS annual_return, {rnd('s * sqrt(252)')} AS volatility, {rnd('CASE WHEN s > 0 THEN m / s * sqrt(252) ELSE 0 END')} AS sharpe,
   {rnd('mdd')} AS max_drawdown, {rnd('win')} AS win_rate, {rnd('CASE WHEN mdd > 0 THEN (pow(1 + total, 252.0 / n) - 1) / mdd END')} AS calmar FROM a""",
     "bt_cumulative": f"""{SER},
 {NV}

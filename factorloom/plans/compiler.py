@@ -94,7 +94,11 @@ class Compiler:
     def _stage(self, df: DataFrame, nodes: list[Call]) -> DataFrame:
         ema = [n for n in nodes if n.name == "ts_sma"]
         series = [n for n in nodes if n.name in TIMESERIES]
-        dates = [n for n in nodes if n.name in CROSS_SECTION or n.name == "total"]
+        dates = [n for n in nodes if n.name in CROSS_SECTION]
+        if totals := [n for n in nodes if n.name == "total"]:  # one row of sums, so no task holds the table
+            sums = df.agg(*[F.sum(self.column(n.args[0])).alias(self._name(n)) for n in totals])
+            df = df.crossJoin(F.broadcast(sums))
+            self.made |= {n: self._name(n) for n in totals}
         for a in range(0, len(series), BATCH):
             cols = {}
             for n in series[a : a + BATCH]:
@@ -150,8 +154,6 @@ class Compiler:
 
     def _dates(self, n: Call):  # noqa: ANN202
         p = f"{self._name(n)}_"
-        if n.name == "total":
-            return [], F.sum(self.column(n.args[0])).over(Window.partitionBy())
         count, literal, f = CROSS_SECTION[n.name]
         xs = [self.column(a).cast("double") for a in n.args[:count]]
         if literal and len(n.args) > count:

@@ -138,16 +138,18 @@ def bt_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*keys, r("weight").alias("equal")).join(w.select(*keys, r("weight").alias("weighted")), keys)
 
 
-def bt_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of the groups, traded with fees."""
     w = backtest.weights(backtest.groups(_panel(spark, sf_dir), 5), 5)
-    out = backtest.nav(backtest.group_returns(w, _grid(spark, sf_dir), CONFIG))
-    return out.select("factor", "trading_date", "grp", r("ret").alias("ret"), r("nv").alias("nv"))
+    return backtest.group_returns(w, _grid(spark, sf_dir), CONFIG)
+
+
+def bt_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.nav(_traded(spark, sf_dir)).select("factor", "trading_date", "grp", r("ret").alias("ret"), r("nv").alias("nv"))
 
 
 def bt_longshort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On group returns that are means of forward returns, so that SQL can say it."""
-    g = _joined(spark, sf_dir).where("label > 0").groupBy("factor", "trading_date", F.col("label").alias("grp")).agg(F.avg("fwd_ret").alias("ret"))
-    return backtest.long_short(g, CONFIG).select("factor", "trading_date", r("long_ret").alias("long_ret"), r("short_ret").alias("short_ret"), r("ls_ret").alias("ls_ret"))
+    return backtest.long_short(_traded(spark, sf_dir), CONFIG).select("factor", "trading_date", r("long_ret").alias("long_ret"), r("short_ret").alias("short_ret"), r("ls_ret").alias("ls_ret"))
 
 
 def bt_passive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +178,9 @@ def bt_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bt_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = backtest.passive(_grid(spark, sf_dir)).withColumn("factor", F.lit("passive")).withColumn("ret", F.col("passive_ret") / 10)
-    return metrics.metrics(s, "ret").select("factor", *[r(c).alias(c) for c in ("total_return", "annual_return", "volatility", "sharpe", "max_drawdown", "win_rate", "calmar")])
+    """Of the long-short strategy of each factor; rounded, as a win is anything over 0."""
+    daily = backtest.long_short(_traded(spark, sf_dir), CONFIG).withColumn("ls_ret", F.round("ls_ret", 10))
+    return metrics.metrics(daily, "ls_ret").select("factor", *[r(c).alias(c) for c in ("total_return", "annual_return", "volatility", "sharpe", "max_drawdown", "win_rate", "calmar")])
 
 
 def bt_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
