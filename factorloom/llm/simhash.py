@@ -4,10 +4,13 @@ Fingerprints: words are runs of non-blank bytes after lower-casing A-Z, shingles
 one space (repeats count), each hashed by XXH64; a bit is 1 if it is set in over half of the hashes.
 
 Links: equal fingerprints are one point (aggregated before anything else, so a group of copies of any size is
-one row). A top tree of `leaves` leaves, fitted on a bounded sample, deals points into shards by distance; a
+one row). A top tree of at most TOP_LEAVES leaves, fitted on a bounded sample, deals points into shards by distance; a
 point also visits the shards beyond its own that its ball of radius r overlaps, so that each pair meets in the
-shard of one of them. A shard builds its own tree and hands on one link from each joined point to its local
-representative, not all pairs. Components of these links are the components of all pairs.
+shard of one of them. Each level of such a tree copies about a third of random points, so it isn't made deeper; a shard of
+more than shard_points is split instead by shared bits: cut into r+1 runs of bits, two fingerprints within r differ in at
+most r of them and agree in one, by which they meet. So a point has a bounded number of copies however many there are.
+What one task gets builds its own tree and hands on one link from each joined point to its local representative, not all
+pairs. Components of these links are the components of all pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a null id takes
 part, but cannot be a component_id unless its whole component is null; repeated rows stay; further columns
@@ -31,7 +34,7 @@ from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Points that one shard should hold, and points the top tree is fitted on at most.
-SHARD_POINTS, SAMPLE_POINTS, MAX_LEAVES = 1_000_000, 65_536, 4096
+SHARD_POINTS, SAMPLE_POINTS, TOP_LEAVES = 1_000_000, 65_536, 64
 _HASH_STEP = 65_536
 
 
@@ -109,7 +112,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS
     spark = fps.sparkSession
     n = fps.count()
     spread = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n // 1024)  # enough shards for the cluster
-    leaves = int(min(MAX_LEAVES, max(1, spread, -(-n // shard_points))))
+    leaves = int(min(TOP_LEAVES, max(1, spread, -(-n // shard_points))))
     share = min(1.0, SAMPLE_POINTS / max(n, 1))
     cut = int(share * (1 << 32))
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < cut).limit(2 * SAMPLE_POINTS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -131,7 +134,19 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS
         u, v = local_links(fp[own], fp[~own], radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean").groupBy("leaf").applyInPandas(match, "u long, v long")
+    dealt = materialize(fps.select("fp").mapInArrow(deal, "leaf int, fp long, own boolean"))
+    large = [(r["leaf"], -(-r["n"] // shard_points)) for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_points).collect()]
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("int") for pair in large for x in pair]), F.col("leaf")), F.lit(0)) if large else F.lit(0)
+    split = [F.struct(F.lit(k).alias("run"), F.pmod(F.xxhash64(bits_), parts.cast("long")).alias("part")) for k, bits_ in enumerate(_runs(radius + 1))]
+    whole = F.array(F.struct(F.lit(0).alias("run"), F.lit(0).cast("long").alias("part")))
+    spread_out = dealt.select("leaf", "fp", "own", F.explode(F.when(parts > 0, F.array(*split)).otherwise(whole)).alias("at")) if large else dealt.select("leaf", "fp", "own", F.explode(whole).alias("at"))
+    return spread_out.select("leaf", "at.run", "at.part", "fp", "own").groupBy("leaf", "run", "part").applyInPandas(match, "u long, v long")
+
+
+def _runs(n: int) -> list[Column]:
+    """The 64 bits of fp as n runs."""
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    return [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1 if z - a < 63 else -1).cast("long")) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def labelled(points: DataFrame, label: DataFrame) -> DataFrame:
