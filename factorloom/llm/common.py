@@ -93,14 +93,16 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, rows)
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(f: Callable) -> Callable:
     """f over the (sliced) batches of a task, or one group; the worker then gives freed memory back to the system, as it may stay idle beside others."""
 
-    def release() -> None:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-
     def run(x):  # noqa: ANN001, ANN202
         try:
             yield from f(sliced(x))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, schema_of, steps, text_bytes, text_of, texts, tidy
+from .common import STEP_BYTES, release, schema_of, steps, text_bytes, text_of, texts, tidy
 from .words import lower
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
@@ -205,7 +205,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     got = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, b array<short>, n array<int>").toPandas()
     order = np.argsort([hash_key(b, n) for b, n in zip(got["b"], got["n"], strict=True)], kind="stable") if len(got) else []
     rows = [(np.asarray(got["b"][i], np.int32), np.asarray(got["n"][i], np.float32)) for i in order]
-    return fit(rows, [got["lang"][i] for i in order])
+    model = fit(rows, [got["lang"][i] for i in order])
+    del rows, got
+    release()
+    return model
 
 
 def hash_key(b: np.ndarray, n: np.ndarray) -> int:
