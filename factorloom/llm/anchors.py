@@ -16,8 +16,8 @@ import numpy as np
 
 from .words import _BASE, _INVERSE, _TABLE, mix, powers
 
-#: Bytes worked on at once; a place in them fits PLACE bits.
-PIECE, PLACE = 2 << 20, np.uint64(22)
+#: Bytes worked on at once, at some hundred bytes of memory each; a place in them fits PLACE bits.
+PIECE, PLACE = 1 << 19, np.uint64(22)
 _PLACES = np.uint64((1 << 22) - 1)
 
 

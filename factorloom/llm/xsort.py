@@ -122,7 +122,8 @@ def name(text: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray,
     """
     bits = int(text.max()).bit_length() + 1
     width = max(1, 62 // bits)
-    end = np.append(lms[1:], len(text) - 1)
+    kind = lms.dtype.type  # as narrow as places, for the arrays here are the largest of a sort
+    end = np.append(lms[1:], kind(len(text) - 1))
 
     def chunk(i: np.ndarray, z: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.int64)
@@ -133,29 +134,32 @@ def name(text: np.ndarray, s: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray,
             out = (out << bits) | np.where(on, (text[at].astype(np.int64) << 1) | s[at], 0)
         return out
 
-    rank = np.zeros(len(lms), np.int64)
-    live, k = np.arange(len(lms)), 0
+    rank = np.zeros(len(lms), kind)
+    live, k = np.arange(len(lms), dtype=kind), 0
     while len(live):
         key = np.empty(len(live), np.int64)
         for a in range(0, len(live), BLOCK):
             some = live[a : a + BLOCK]
-            key[a : a + BLOCK] = chunk(lms[some] + k, end[some])
-        order = np.lexsort((key, rank[live])) if k else np.argsort(key, kind="stable")
-        r, q = rank[live][order], key[order]
-        new = np.ones(len(live), bool)
-        new[1:] = (r[1:] != r[:-1]) | (q[1:] != q[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(live)))
-        old = np.ones(len(live), bool)
+            key[a : a + BLOCK] = chunk(lms[some] + kind(k), end[some])
+        order = (np.lexsort((key, rank[live])) if k else np.argsort(key, kind="stable")).astype(kind)
+        key, live = key[order], live[order]
+        r = rank[live]
+        old, new = np.ones(len(live), bool), np.ones(len(live), bool)
         old[1:] = r[1:] != r[:-1]
-        base = np.maximum.accumulate(np.where(old, np.arange(len(live)), 0))
-        place = r + np.repeat(first, size) - base  # names are places of first equals, so that later splits fit in
-        rank[live[order]] = place
+        new[1:] = old[1:] | (key[1:] != key[:-1])
+        del key, order
+        first = np.flatnonzero(new).astype(kind)
+        size = np.diff(first, append=kind(len(live)))
+        r += np.repeat(first, size)
+        r -= np.maximum.accumulate(np.where(old, np.arange(len(live), dtype=kind), kind(0)))
+        rank[live] = r  # names are places of first equals, so that later splits fit in
         k += width
-        again = (np.repeat(size, size) > 1) & (lms[live[order]] + k <= end[live[order]])
-        live = np.sort(live[order[again]]) if again.any() else live[:0]
-    names, out = np.unique(rank, return_inverse=True)
-    return out, len(names) == len(lms)
+        again = np.repeat(size > 1, size) & (lms[live] + kind(k) <= end[live])
+        live = np.sort(live[again])
+    there = np.zeros(len(lms), bool)
+    there[rank] = True
+    number = np.cumsum(there, dtype=kind) - kind(1)
+    return number[rank], bool(there.all())
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, least: np.ndarray | None = None) -> np.ndarray:
@@ -190,14 +194,15 @@ def neighbours(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     the suffix d symbols later shares all but d with one that stands before it. So every SKIPS[0]-th is compared
     from its start, and the others from where the one before them leads.
     """
-    m = len(order)
-    by_place = np.argsort(order, kind="stable")
+    m, kind = len(order), order.dtype.type
+    by_place = np.argsort(order, kind="stable").astype(kind)
     place = order[by_place]
-    before = np.where(by_place > 0, order[np.maximum(by_place - 1, 0)], -1)
-    after = np.append(place[1:], len(text))
+    before = order[by_place - kind(1)]
+    before[by_place == 0] = -1
+    after = np.append(place[1:], kind(len(text)))
     shared = np.zeros(m, np.int32)
     for k, skip in enumerate(SKIPS):
-        t = np.arange(0, m, skip)
+        t = np.arange(0, m, skip, dtype=kind)
         if k:
             t = t[t % SKIPS[k - 1] != 0]
         t = t[before[t] >= 0]
@@ -244,7 +249,11 @@ def induce(text: np.ndarray, target: np.ndarray, flip: bool, seeds: np.ndarray,
     top = int(text.max())
     key_of = (lambda c: top - c.astype(np.int64)) if flip else (lambda c: c.astype(np.int64))
     seed_key = key_of(text[seeds])
-    n_target = np.bincount(key_of(text[target]), minlength=top + 1)
+    n_target = np.zeros(top + 1, np.int64)
+    block = max(BLOCK, top + 1)
+    for a in range(0, len(text), block):
+        n_target += np.bincount(text[a : a + block][target[a : a + block]], minlength=top + 1)
+    n_target = n_target[::-1] if flip else n_target
     n_seed = np.bincount(seed_key, minlength=top + 1)
     per = n_target + n_seed
     page_slots = max(1, space.memory // 12)
